@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, sharding, simhash, token_counts, token_file
+from . import bpe, exact_dedup, packing, quality, secrets, sharding, simhash, token_counts, token_file
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_round_trip": _over("documents", bpe.bpe_round_trip),
+        "op2_secret_scan": _over("documents", secrets.scan_secrets),
         "op3_pack_sequences": _over("documents", packing.pack_documents),
         "op4_shard_documents": _over("documents", sharding.shard),
         "op5_quality_rules": _over("documents", quality.quality),
