@@ -13,6 +13,7 @@ tighten.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +115,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is kept, with their columns: a filter without a shuffle."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:

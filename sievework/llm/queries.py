@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, secrets, sharding, simhash, token_counts, token_file
+from . import bpe, exact_dedup, html_extract, packing, quality, secrets, sharding, simhash, token_counts, token_file
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op3_pack_sequences": _over("documents", packing.pack_documents),
         "op4_shard_documents": _over("documents", sharding.shard),
         "op5_quality_rules": _over("documents", quality.quality),
+        "op6_html_main_text": _over("pages", html_extract.extract_main_text),
         "op7_token_file": _over("documents", token_file.token_file_round_trip),
         "op8_exact_dedup": _over("documents", exact_dedup.exact_dedup),
         "op9_token_counts": _over("documents", token_counts.token_counts),
