@@ -5,7 +5,7 @@ A segment (one file image) holds the ids of consecutive documents:
     magic "PFOR1", then as little-endian 64-bit numbers: documents, tokens, blocks, exceptions, bytes of packed values
     document ids (i8), their validity (u1), tokens of each document (u4)
     of each block: smallest id (u4), bits of a value (u1), number of exceptions (u1), start in the packed values (u4)
-    packed values: 128 differences to the block's smallest id, each block at its own width
+    packed values: 128 differences to the block's smallest id, each block at its own width, high bits first
     exceptions, block by block: place in the block (u1), and the whole difference (u4)
     crc32 of all that (u4)
 
@@ -55,7 +55,8 @@ def write_segment(doc_ids: list[int | None], counts: list[int], tokens: np.ndarr
     rows = padded.reshape(blocks, BLOCK)
     low = rows.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rows = rows - low[:, None]
-    typical = np.sort(rows, axis=1)[:, min(BLOCK - 1, BLOCK * PERCENTILE // 100)] if blocks else low
+    at = BLOCK * PERCENTILE // 100
+    typical = np.partition(rows, at, axis=1)[:, at] if blocks else low
     width = _bits(typical)
     outside = rows >> width[:, None].astype(np.uint32) != 0 if blocks else np.zeros((0, BLOCK), bool)
     where = np.argwhere(outside)
@@ -64,8 +65,9 @@ def write_segment(doc_ids: list[int | None], counts: list[int], tokens: np.ndarr
     for w in np.unique(width).tolist():
         if w:
             own = np.flatnonzero(width == w)
-            bits = (rows[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            made = np.packbits(bits.astype(np.uint8).reshape(len(own), BLOCK * w), axis=1)
+            cell, size = (">u2", 16) if w <= 16 else (">u4", 32)
+            bits = np.unpackbits(rows[own].astype(cell).view(np.uint8), axis=1).reshape(len(own), BLOCK, size)
+            made = np.packbits(bits[:, :, size - w :].reshape(len(own), BLOCK * w), axis=1)
             packed[(starts[own][:, None] + np.arange(made.shape[1])).ravel()] = made.ravel()
     valid = np.array([d is not None for d in doc_ids], np.uint8)
     body = b"".join(
@@ -104,8 +106,10 @@ class Segment:
 
     def _unpack(self, own: np.ndarray, w: int) -> np.ndarray:
         raw = self.packed[(self.starts[own].astype(np.int64)[:, None] + np.arange(BLOCK // 8 * w)).ravel()].reshape(len(own), -1)
-        bits = np.unpackbits(raw, axis=1).reshape(len(own), BLOCK, w).astype(np.uint32)
-        return (bits << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+        cell, size = (">u2", 16) if w <= 16 else (">u4", 32)
+        bits = np.zeros((len(own), BLOCK, size), np.uint8)
+        bits[:, :, size - w :] = np.unpackbits(raw, axis=1).reshape(len(own), BLOCK, w)
+        return np.packbits(bits.reshape(len(own), -1), axis=1).view(cell).astype(np.uint32)
 
     def block(self, i: int) -> np.ndarray:
         """The ids of block i, by its start."""
