@@ -27,7 +27,11 @@ from .common import map_arrow
 
 MARK = "▁"
 #: Parts whose tables a worker keeps; all are dropped when there are more.
-KEPT = 400_000
+KEPT = 700_000
+#: Pairs of neighbours whose merging is known, likewise.
+KEPT_PAIRS = 500_000
+#: Sizes of pieces that end anywhere.
+SHORT = (2, 1)
 
 
 class Pieces:
@@ -47,7 +51,12 @@ class Pieces:
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
         if any(p.type == 4 for p in model.pieces):
             raise ValueError("user-defined pieces are not supported")
-        self.longest = max(map(len, self.score))
+        #: the sizes of pieces that end in three characters, longest first
+        sizes: dict[str, set[int]] = {}
+        for p in self.score:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], set()).add(len(p))
+        self.tails = {t: (*sorted(x, reverse=True), *SHORT) for t, x in sizes.items()}
         self.pattern = self._pattern()
         self.apart: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, bytes | array] = {}
@@ -82,28 +91,33 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _stay_apart(self, a: str, b: str) -> bool:
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            known = self.apart[a, b] = self.merge(a + b) == [a, b]
+        if len(self.apart) > KEPT_PAIRS:
+            self.apart.clear()
+        known = self.apart[a, b] = self.merge(a + b) == [a, b]
         return known
 
     def table(self, part: str) -> bytes | array:
         """Token counts of the prefixes of 1, 2, ... characters of a part."""
-        score, stay = self.score, self._stay_apart
+        score, tails, apart = self.score, self.tails, self.apart
         n = len(part)
         last, count = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for size in range(min(self.longest, i), 0, -1):
+            for size in tails.get(part[i - 3 : i], SHORT) if i > 2 else SHORT[2 - i :]:
+                if size > i:
+                    continue
                 piece = part[i - size : i]
                 if size > 1 and piece not in score:
                     continue
                 before = last[i - size]
-                if not before or stay(before, piece):
-                    last[i] = piece
-                    count[i] = count[i - size] + (1 if piece in score else len(piece.encode("utf-8", "surrogatepass")))
-                    break
+                if before:
+                    stays = apart.get((before, piece))
+                    if stays is None:
+                        stays = self._stay_apart(before, piece)
+                    if not stays:
+                        continue
+                last[i] = piece
+                count[i] = count[i - size] + (1 if piece in score else len(piece.encode("utf-8", "surrogatepass")))
+                break
             else:
                 raise AssertionError("a prefix has no encoding")
         return bytes(count[1:]) if count[n] < 256 else array("l", count[1:])
