@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Column functions: built-in expressions only, so they stay inside generated code."""

@@ -11,27 +11,31 @@ costs part of one round.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 
-def _store(df: DataFrame, tag: str) -> DataFrame:
-    """Parquet in the shared folder of the session, or a checkpoint where the session names none."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
 
-        named = f"file://{tempfile.mkdtemp(prefix='sievework-')}"
-        df.sparkSession.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n nodes reaches over the links a-b, in one task's memory."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
-def connected_components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame] = _store) -> DataFrame:
+def connected_components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """`node`, `component` (its smallest node) for each node of the links, whose two columns hold long ids.
 
     Links to itself, repeated links and either direction are allowed; a link

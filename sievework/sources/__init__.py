@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Where rows come from and go to: image folders, the embedding cache, phase tables, files."""
