@@ -47,8 +47,11 @@ def embed(images: DataFrame, make: Callable[[], Embedder], batch_size: int = 16)
     """content_hash and unit-length embedding of images (content_hash, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model = None
         for pdf in frames:
+            if not len(pdf):
+                continue
+            model = model or make()  # loaded only where there is something to embed
             yield pdf[["content_hash"]].assign(embedding=[list(map(float, v)) for v in in_batches(model, list(pdf["content"]), batch_size)])
 
     raw = images.select("content_hash", "content").mapInPandas(run, "content_hash string, embedding array<float>")
@@ -99,9 +102,10 @@ def analyze(images: DataFrame, make: Callable[[], Analyzer] | None, concurrency:
         return images.select("path", F.lit(ANSWER_DEFAULT).alias("score"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, asked = make(), False
+        ask, asked = None, False
         for pdf in frames:
             answers = []
+            ask = ask or make()
             for image in pdf["content"]:
                 answer = None
                 if image is not None:

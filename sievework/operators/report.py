@@ -66,7 +66,7 @@ def copy_ranked(named: DataFrame, folder: str, dry_run: bool = False) -> DataFra
                 target, error = os.path.join(folder, name), None
                 try:
                     if not dry_run:
-                        os.makedirs(folder, exist_ok=True)
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
                         shutil.copy2(path.removeprefix("file:"), f"{target}.{os.getpid()}.tmp")
                         os.replace(f"{target}.{os.getpid()}.tmp", target)
                 except OSError as e:

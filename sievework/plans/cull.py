@@ -83,5 +83,6 @@ def in_scope(files: DataFrame, path: Column, folders: DataFrame, scope: str) ->
     """folder and path of the files that a folder's run sees: its own (`direct`), or all below (`recursive`)."""
     from ..functions.paths import ancestors, parent
 
-    above = F.array(parent(path)) if scope == "direct" else ancestors(path)
-    return files.select(path.alias("path"), F.explode(above).alias("folder")).join(folders.select("folder"), "folder")
+    own = files.select(path.alias("__path"))
+    above = F.array(parent(F.col("__path"))) if scope == "direct" else ancestors(F.col("__path"))
+    return own.select(F.col("__path").alias("path"), F.explode(above).alias("folder")).join(folders.select("folder"), "folder")

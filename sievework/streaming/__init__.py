@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Incremental ingest with Structured Streaming."""
