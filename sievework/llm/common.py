@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,39 +26,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    import tempfile
-
-    named = f"file://{tempfile.mkdtemp(prefix='sievework-')}"
-    spark.conf.set("spark.checkpoint.dir", named)
-    atexit.register(_forget, spark, named)
-    return named
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Deletes a written table once the program ends; a stopped session leaves it to the cluster's clean-up."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the JVM may be gone already
-        pass
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
-
-    The files survive a lost executor, unlike shuffle files or cached blocks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Parquet in the folder that driver and executors share, read back: cuts the lineage, and outlives lost executors.
+written = stored
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, local_roots
 from .common import map_arrow, written
 
 BITS = 64
@@ -105,21 +105,6 @@ def _by_class(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(hashed[order], np.arange((1 << bits) + 1))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n nodes reaches over the links a-b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def meet(fps: np.ndarray, part: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints that meet on a variant of this partition: each with the first of its group."""
     fps = np.unique(fps)
@@ -151,7 +136,7 @@ def meet(fps: np.ndarray, part: int, bits: int, radius: int) -> tuple[np.ndarray
         right.append(b[near])
     if not left:
         return fps[:0], fps[:0]
-    root = _roots(len(fps), np.concatenate(left), np.concatenate(right))
+    root = local_roots(len(fps), np.concatenate(left), np.concatenate(right))
     linked = np.flatnonzero(root != np.arange(len(fps)))
     return fps[linked], fps[root[linked]]
 
