@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 LEVEL = 3
-#: Bytes below which a band holds, its smallest and its largest ratio. Prose of four languages lies between 1.4 and 2.5.
-BANDS = ((300, 0.0, 2.1), (1_000, 1.15, 2.3), (4_000, 1.3, 2.5), (16_000, 1.4, 2.7), (float("inf"), 1.4, 3.0))
+#: Bytes below which a band holds, its smallest and its largest ratio. Longer texts compress better, so limits rise with
+#: length. The largest are 0.05 to 0.3 over the largest ratio of documents labelled good in each class of length.
+BANDS = (
+    (400, 1.1, 2.1), (700, 1.15, 2.0), (1_000, 1.2, 2.05), (1_500, 1.25, 2.12), (2_500, 1.3, 2.22), (4_000, 1.35, 2.29),
+    (8_000, 1.4, 2.41), (16_000, 1.45, 2.49), (32_000, 1.45, 2.6), (64_000, 1.45, 2.68), (float("inf"), 1.45, 2.8),
+)
 #: Bytes of a chunk, its band, and the share of bytes in chunks outside the band from which a text is rejected.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (1.25, 3.2), 0.25
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (1.25, 2.8), 0.25
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50

@@ -54,7 +54,7 @@ def test_good_labelled_documents_stay(spark):
     d = "/root/testdata/sf0.1"
     found = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     assert found.where("quality = 1 AND NOT base_failed AND NOT kept").count() == 0
-    assert found.where("quality = 0 AND NOT kept").count() > 0.45 * found.where("quality = 0").count()
+    assert found.where("quality = 0 AND NOT kept").count() > 0.7 * found.where("quality = 0").count()
 
 
 def test_quality_of_repeated_rows_and_empty_tables(repeated, nothing):
