@@ -16,7 +16,7 @@ import numpy as np
 from .bpe import byte_signs
 
 #: Words whose ids a worker keeps; all are dropped when there are more.
-KEPT = 500_000
+KEPT = 1_200_000
 
 
 class ByteBPE:
