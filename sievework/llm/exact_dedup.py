@@ -86,5 +86,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
+    """The rows of docs that stay, with the columns of docs, whatever their names (see `classify` for nulls and repeats)."""
     return classify(docs, id_col, text_col, keep).where("kept").select("row.*")

@@ -118,7 +118,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is kept, with their columns: a filter without a shuffle."""
+    """The rows of docs whose text is kept, with their columns: a filter without a shuffle.
+
+    Rows with a null, empty or short text go; a null id, repeated rows and further
+    columns make no difference. An empty table stays empty.
+    """
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:

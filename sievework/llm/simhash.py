@@ -220,7 +220,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of each component, that with the smallest id, with the columns of docs.
 
     Rows are told apart by a number that is stored with them, so of rows that
-    repeat an id exactly one stays, and null ids are handled.
+    repeat an id exactly one stays; a row with a null id stays only where its component has no
+    other. All texts without words (null ones, too) are one component. An empty table stays empty.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = written(docs.select(F.monotonically_increasing_id().alias("n"), row.alias("row")), "numbered-documents")
