@@ -10,6 +10,8 @@ shuffle, no Python on executors, and memory bounded by a row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from .secret_findings import AFTER, BEFORE, WORD_PARTS, labelled_findings
 FINDINGS, TREES, DEPTH, LEAST_LEAF = 6_000, 16, 6, 8
 THRESHOLD = 0.5
 MARK = "[SECRET]"
+#: Cuts whose sizes are added up in one piece.
+CHUNK = 256
 _SIGN = "[A-Za-z0-9+/_-]"
 #: A private key block, or a run of 16 or more signs of keys and encodings.
 CANDIDATE = f"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----[A-Za-z0-9+/=\\s]*+(?:-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?|(?<!{_SIGN}){_SIGN}{{16,}}+={{0,2}}"
@@ -171,10 +175,28 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     return scored.select("row", "text", cuts.alias("cuts"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often lambdas in the body read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(sizes: Column) -> Column:
-    """Running sums of an array of ints."""
-    empty = F.array().cast("array<int>")
-    return F.aggregate(sizes, empty, lambda done, x: F.array_append(done, x + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))
+    """Running sums of an array of ints: within chunks, then over the chunks' totals, as an array grows by copying."""
+
+    def plain(some: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(some, none, lambda done, x: F.array_append(done, x + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))
+
+    def chunked(own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(CHUNK))
+        return F.transform(starts, lambda at: plain(F.slice(own, at, F.lit(CHUNK))))
+
+    def joined(chunks: Column) -> Column:
+        totals = plain(F.transform(chunks, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0))))
+        before = F.concat(F.array(F.lit(0)), F.slice(totals, 1, F.size(totals) - 1))
+        return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(c, lambda x: x + b)))
+
+    return _let(sizes, lambda own: _let(chunked(own), joined))
 
 
 def redacted(cuts: Column, text: Column) -> Column:

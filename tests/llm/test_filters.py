@@ -1,6 +1,7 @@
 """Quality rules (5), secret scan (2), main text (6) and the pipeline."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -99,6 +100,18 @@ def test_cuts_make_up_the_text(docs, texts):
         assert r.text == (texts[r.doc_id] or "") and (r.n == 0 or r.joined == r.text)
 
 
+@pytest.mark.parametrize("chunk", (3, secrets.CHUNK))
+def test_many_candidates_in_one_text(spark, monkeypatch, chunk):
+    monkeypatch.setattr(secrets, "CHUNK", chunk)
+    for n in (0, 1, chunk - 1, chunk, chunk + 1, 4 * chunk + 1):
+        sizes = [i % 7 for i in range(n)]
+        rows = spark.createDataFrame([(sizes,), (None,)], "sizes array<int>")
+        assert rows.select(secrets._running(F.col("sizes"))).first()[0] == list(itertools.accumulate(sizes))
+    text = "\n".join(f"é line {i}: api_key = '{SECRET}'" for i in range(4 * chunk + 1))
+    spans = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().secrets
+    assert [s.start for s in spans] == [m.start() for m in re.finditer(SECRET, text)]
+
+
 def test_scan_runs_no_python_and_takes_odd_rows(spark, repeated, nothing):
     plan = secrets.scan_secrets(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapIn|Exchange", plan)
