@@ -7,6 +7,9 @@ right), and closes the gaps; words without a further merge leave the array. A
 merge only makes pairs of later rank than its own, so merging all places of a
 word's best pair at once equals merging them one by one.
 
+A long word is merged alone: its pair ranks stay, and a round looks up only the
+pairs next to what it merged.
+
 Words recur, so a worker keeps what it has encoded.
 """
 
@@ -22,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-KEPT = 300_000
+#: Words that a worker keeps, and their letters; all are dropped when there are more.
+KEPT, KEPT_LETTERS = 300_000, 6_000_000
+#: Symbols from which a word is merged alone.
+LONG = 1_024
 #: Bytes of words that are merged at once.
 ROUND_BYTES = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
@@ -70,9 +76,55 @@ class WordBPE:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)[order]
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.letters = 0
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs stand in the sorted keys, and their ranks."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return at, np.where(self.keys[at] == pair, self.ranks[at], NO_RANK)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word. Symbols are chained; a round changes only the places it merges and their neighbours."""
+        raw = np.frombuffer(word, np.uint8)
+        symbols = self.inner[raw]
+        symbols[-1] = self.final[raw[-1]]
+        while True:
+            n = len(symbols)
+            ahead, behind = np.arange(1, n + 1), np.arange(-1, n)
+            at, rank = self._find(symbols[:-1], symbols[1:])
+            at, rank, alive, left = np.append(at, 0), np.append(rank, NO_RANK), np.ones(n, bool), n
+            while 2 * left > n:
+                best = rank.min()
+                if best == NO_RANK:
+                    return symbols[alive]
+                places = np.flatnonzero(rank == best)
+                places = places[_every_second(ahead[places[:-1]] == places[1:])]
+                gone = ahead[places]
+                symbols[places] = self.made[at[places[0]]]
+                ahead[places] = ahead[gone]
+                behind[ahead[places]] = places
+                rank[gone], alive[gone] = NO_RANK, False
+                left -= len(gone)
+                before = behind[places]
+                touched = np.concatenate((places, before[before >= 0]))
+                after = ahead[touched]
+                at[touched], new = self._find(symbols[touched], symbols[np.minimum(after, n - 1)])
+                rank[touched] = np.where(after < n, new, NO_RANK)
+            symbols = symbols[alive]
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (not empty)."""
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
+        if len(short) == len(words):
+            return self.merge_together(words)
+        together = dict(zip(short, self.merge_together([words[i] for i in short])))
+        return [together[i] if i in together else self.merge_long(w) for i, w in enumerate(words)]
+
+    def merge_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word (not empty), all in the same rounds."""
+        if not words:
+            return []
         out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -82,9 +134,7 @@ class WordBPE:
         names = np.arange(len(words))
         while len(symbols):
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            pair = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == pair, self.ranks[at], NO_RANK)
+            at, rank = self._find(symbols[:-1], symbols[1:])
             rank = np.append(rank, NO_RANK)
             rank[starts + sizes - 1] = NO_RANK  # a pair must not reach into the next word
             best = np.minimum.reduceat(rank, starts)
@@ -156,14 +206,24 @@ class WordBPE:
 
     def look_up(self, texts: list[list[str]]) -> list[list[tuple[str, str, int]]]:
         new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
+        letters = sum(map(len, new))
+        if len(self.known) + len(new) > KEPT or self.letters + letters > KEPT_LETTERS:
             self.known.clear()
             new = set().union(*texts)
+            self.letters, letters = 0, sum(map(len, new))
+        self.letters += letters
         self.learn(new)
         known = self.known
         return [[known[w] for w in words] for words in texts]
 
 
+def _every_second(chained: np.ndarray) -> np.ndarray:
+    """Of places that overlap (a a a), every second one from the left; chained[i] says that place i + 1 begins where place i ends."""
+    index = np.arange(len(chained) + 1)
+    begins = np.maximum.accumulate(np.where(np.concatenate(([True], ~chained)), index, 0))
+    return (index - begins) % 2 == 0
+
+
 _loaded: dict[str, WordBPE] = {}
 
 

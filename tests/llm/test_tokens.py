@@ -52,6 +52,28 @@ def test_merging_long_and_short_words_together():
         assert ids.tolist() == library.encode(w, add_special_tokens=False).ids
 
 
+def test_words_merged_alone_equal_library_and_rounds():
+    own, library = bpe.word_bpe("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aabcdethn") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    words += ["".join(rng.choice(signs) for _ in range(n)) for n in (1_023, 1_024, 5_000, 30_000) for signs in ("etaoinshrdlu", "ab", "aaaaaaab", "日本語的中文字é")]
+    words += ["a" * n for n in (1, 2, 3, 1_024, 9_999)] + ["ab" * 3_000]
+    alone, mixed = [own.merge_long(w.encode()).tolist() for w in words], own.merge([w.encode() for w in words])
+    for w, a, b in zip(words, alone, mixed):
+        assert a == b.tolist() == library.encode(w, add_special_tokens=False).ids, w[:40]
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    own = bpe.WordBPE(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe, "KEPT_LETTERS", 5_000)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeth") for _ in range(200)) for _ in range(10)) for _ in range(20)]
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert sum(map(len, own.known)) <= 5_000
+
+
 def test_byte_ids_equal_library_on_random_signs(byte_ids, texts):
     own, library = byte_bpe("byte_bpe_50k.json"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert [x.tolist() for x in own.encode([t or "" for t in texts])] == byte_ids
