@@ -15,8 +15,8 @@ import numpy as np
 
 from .bpe import byte_signs
 
-#: Words whose ids a worker keeps; all are dropped when there are more.
-KEPT = 1_200_000
+#: Words whose ids a worker keeps, and their letters; all are dropped when there are more.
+KEPT, KEPT_LETTERS = 1_200_000, 24_000_000
 
 
 class ByteBPE:
@@ -54,7 +54,7 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without adding special tokens."""
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or self.known.letters > KEPT_LETTERS:
             self.known = _Known(self)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, self.parts(x))), "<u2").astype("<u4") for x in texts]
@@ -65,11 +65,12 @@ class _Known(dict):
 
     def __init__(self, owner: ByteBPE):
         super().__init__(owner.added)
-        self.merge, self.signs = owner.library.model.tokenize, owner.signs
+        self.merge, self.signs, self.letters = owner.library.model.tokenize, owner.signs, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = [t.id for t in self.merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))]
         found = self[word] = array("H", ids).tobytes()
+        self.letters += len(word)
         return found
 
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 MARK = "▁"
-#: Parts whose tables a worker keeps; all are dropped when there are more.
-KEPT = 700_000
+#: Parts whose tables a worker keeps, and their letters; all are dropped when there are more.
+KEPT, KEPT_LETTERS = 700_000, 14_000_000
 #: Pairs of neighbours whose merging is known, likewise.
 KEPT_PAIRS = 500_000
 #: Sizes of pieces that end anywhere.
@@ -60,6 +60,7 @@ class Pieces:
         self.pattern = self._pattern()
         self.apart: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, bytes | array] = {}
+        self.letters = 0
 
     def _pattern(self) -> re.Pattern:
         """What splits a marked text into parts that no piece crosses, tried on every piece."""
@@ -126,11 +127,12 @@ class Pieces:
         """The tables of the parts of a text, in order."""
         parts, tables = self.split(text), self.tables
         new = set(parts).difference(tables)
-        if len(tables) + len(new) > KEPT:
+        if len(tables) + len(new) > KEPT or self.letters > KEPT_LETTERS:
             tables.clear()
-            new = set(parts)
+            self.letters, new = 0, set(parts)
         for part in new:
             tables[part] = self.table(part)
+            self.letters += len(part)
         return [tables[x] for x in parts]
 
     def count(self, text: str) -> int:

@@ -74,6 +74,25 @@ def test_what_a_worker_keeps_is_bounded(monkeypatch):
         assert sum(map(len, own.known)) <= 5_000
 
 
+def test_kept_byte_words_and_piece_tables_are_bounded(monkeypatch):
+    import sentencepiece
+
+    from sievework.llm import byte_bpe as byte_level
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdeth") for _ in range(200)) for _ in range(10)) for _ in range(20)]
+    monkeypatch.setattr(byte_level, "KEPT_LETTERS", 5_000)
+    own, library = byte_level.ByteBPE(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for t in texts:
+        assert own.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert sum(map(len, own.known)) <= 5_000 + len(t) + 100
+    monkeypatch.setattr(token_counts, "KEPT_LETTERS", 5_000)
+    pieces, library = token_counts.Pieces(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for t in texts:
+        assert pieces.count(t) == len(library.encode(t))
+        assert sum(map(len, pieces.tables)) <= 5_000 + len(t) + 10
+
+
 def test_byte_ids_equal_library_on_random_signs(byte_ids, texts):
     own, library = byte_bpe("byte_bpe_50k.json"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert [x.tolist() for x in own.encode([t or "" for t in texts])] == byte_ids
