@@ -20,7 +20,7 @@ copies is expanded into pairs, and nothing is capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -216,16 +216,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near_groups(docs, id_col, text_col).select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_groups) -> DataFrame:
     """One row of each component, that with the smallest id, with the columns of docs.
 
+    `groups` gives `doc` and `component_id` of every row, by linked fingerprints if not told otherwise.
     Rows are told apart by a number that is stored with them, so of rows that
     repeat an id exactly one stays; a row with a null id stays only where its component has no
     other. All texts without words (null ones, too) are one component. An empty table stays empty.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = written(docs.select(F.monotonically_increasing_id().alias("n"), row.alias("row")), "numbered-documents")
-    groups = near_groups(held.select("n", F.col(f"row.{text_col}").alias("t")), "n", "t").select(F.col("doc").alias("n"), F.col("component_id").alias("group"))
+    grouped = groups(held.select("n", F.col(f"row.{text_col}").alias("t")), "n", "t").select(F.col("doc").alias("n"), F.col("component_id").alias("group"))
     ids = held.select("n", F.col(f"row.{id_col}").alias("id"))
-    first = groups.join(ids, "n").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first"))
+    first = grouped.join(ids, "n").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first"))
     return held.join(first.select(F.col("first.n").alias("n")), "n", "left_semi").select("row.*")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, queries, sharding, simhash
+from sievework.llm import exact_dedup, near_dedup, queries, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,6 +159,50 @@ def test_near_copies_keep_one_row_each(docs, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(groups) and kept.columns == docs.columns
 
 
+def plain_similar_components(texts):
+    """Components of all pairs whose 5-word shingles have Jaccard similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = lowered(t).split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 5 * small >= 4 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(a) for a in range(len(texts))]
+
+
+@pytest.mark.parametrize("all_pairs", [32, 2])  # 2: most keys take the way of large groups
+def test_pipeline_drops_near_copies_by_shingles(spark, monkeypatch, all_pairs):
+    """Copies with 1 to 4 % of the words changed; SimHash at 4 bits misses most of them."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", all_pairs)
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(20_000)}"
+    texts = [None, "", " ", "two words", "Two words"]
+    for k in range(24):
+        base = [word() for _ in range(60 + 25 * k)]
+        texts.append(" ".join(base))
+        for j in range(8 if k < 4 else 3):
+            copy = list(base)
+            for at in rng.choice(len(base), (len(base) * (1 + j % 4)) // 100 + 1, replace=False):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    want = plain_similar_components(texts)
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_copies(spark, rows.repartition(3), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want)) and got.columns == rows.columns
+
+
 def test_sharding(docs, texts):
     rows = sharding.shard(docs).collect()
     assert len(rows) == len(texts)
