@@ -21,13 +21,14 @@ from .common import map_arrow
 
 LEVEL = 3
 #: Bytes below which a band holds, its smallest and its largest ratio. Longer texts compress better, so limits rise with
-#: length. The largest are 0.05 to 0.3 over the largest ratio of documents labelled good in each class of length.
+#: length. The largest are 0.05 to 0.3 over the largest ratio of documents labelled good in each class of length, the
+#: smallest 0.02 to 0.08 under their smallest one (the last class has no such document and takes the limit before).
 BANDS = (
-    (400, 1.1, 2.1), (700, 1.15, 2.0), (1_000, 1.2, 2.05), (1_500, 1.25, 2.12), (2_500, 1.3, 2.22), (4_000, 1.35, 2.29),
-    (8_000, 1.4, 2.41), (16_000, 1.45, 2.49), (32_000, 1.45, 2.6), (64_000, 1.45, 2.68), (float("inf"), 1.45, 2.8),
+    (400, 1.3, 2.1), (700, 1.35, 2.0), (1_000, 1.47, 2.05), (1_500, 1.6, 2.12), (2_500, 1.72, 2.22), (4_000, 1.84, 2.29),
+    (8_000, 1.9, 2.41), (16_000, 2.08, 2.49), (32_000, 2.2, 2.6), (64_000, 2.25, 2.68), (float("inf"), 2.25, 2.8),
 )
 #: Bytes of a chunk, its band, and the share of bytes in chunks outside the band from which a text is rejected.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (1.25, 2.8), 0.25
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (1.9, 2.8), 0.25
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50

@@ -1,5 +1,6 @@
 """Quality rules (5), secret scan (2), main text (6) and the pipeline."""
 
+import base64
 import hashlib
 import itertools
 import os
@@ -51,6 +52,23 @@ def test_bands(spark):
     assert [r.doc_id for r in quality.keep_good(rows).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_encoded_text_is_rejected(spark):
+    """Base64 in words of eight signs, in each class of length and behind a quarter of prose."""
+    rng = random.Random(5)
+
+    def encoded(n):
+        s = base64.b64encode(rng.randbytes(n)).decode()
+        return " ".join(s[i : i + 8] for i in range(0, len(s), 8))[:n]
+
+    d = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1"), "doc_id")
+    prose = good.where("n_chars BETWEEN 14000 AND 16000").orderBy("doc_id").first().text
+    texts = [*map(encoded, (500, 690, 990, 1_400, 2_400, 3_900, 7_900, 15_000, 31_000, 63_000, 130_000)), prose + " " + encoded(3 * len(prose)), prose]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(r.base_failed for r in quality.quality(rows).collect())
+    assert [r.doc_id for r in quality.keep_good(rows).collect()] == [len(texts) - 1]
+
+
 def test_good_labelled_documents_stay(spark):
     d = "/root/testdata/sf0.1"
     found = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
