@@ -2,9 +2,9 @@
 
 A text is compressed whole and in fixed chunks. Its ratio must lie in a band
 that depends on its length: repetitive text compresses far better than prose,
-and noise or encoded data hardly at all. Long texts are also rejected when a
+and noise or encoded data hardly at all. Texts of a chunk or more are also rejected when a
 quarter of their bytes lie in chunks outside the chunk band, which finds
-repetition or noise that the rest of the text hides.
+repetition or noise that the rest of the text hides. The chunks cover the whole text.
 
 Base counts (words, lines, repeats) give a first verdict that the bands only
 tighten.
@@ -75,10 +75,12 @@ def bands_hold(data: bytes, compress) -> tuple[float, float, bool]:
     ratio = len(data) / len(compress(data))
     low, high = next((lo, hi) for size, lo, hi in BANDS if len(data) < size)
     outside = 0
-    if len(data) >= 2 * CHUNK:
-        for at in range(0, len(data) - CHUNK + 1, CHUNK):
+    if len(data) >= CHUNK:
+        for end in range(CHUNK, len(data) + CHUNK, CHUNK):
+            # the last chunk ends with the text and counts for the bytes that no chunk before it holds
+            at = min(end, len(data)) - CHUNK
             r = CHUNK / len(compress(data[at : at + CHUNK]))
-            outside += CHUNK * (not CHUNK_BAND[0] <= r <= CHUNK_BAND[1])
+            outside += (at + 2 * CHUNK - end) * (not CHUNK_BAND[0] <= r <= CHUNK_BAND[1])
     share = outside / len(data)
     return ratio, share, low <= ratio <= high and share < CHUNK_SHARE
 

@@ -69,6 +69,22 @@ def test_encoded_text_is_rejected(spark):
     assert [r.doc_id for r in quality.keep_good(rows).collect()] == [len(texts) - 1]
 
 
+def test_chunks_cover_the_whole_text():
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    rng = random.Random(9)
+    parts = "the ing er tion ou st re an ly ea ha sh wh nd or ble es ed ti at in on con pre sub for men dis qua vel mar tor gra pli sen".split()
+    prose = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(4000)).encode()
+    noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(12)) for _ in range(1000)).encode()
+    share = lambda data: quality.bands_hold(data, compress)[1]
+    assert share(prose[:8_192] + noise[:4_096]) == 4_096 / 12_288
+    assert share(prose[:8_192] + noise[:4_095]) == 4_095 / 12_287
+    assert share(prose[:4_000] + noise[:4_191]) == 4_095 / 8_191
+    assert share(noise[:4_096]) == 1 and share(noise[:5_000]) == 1 and share(noise[:4_095]) == 0
+    assert all(share(prose[:n]) == 0 for n in (4_096, 4_097, 8_191, 8_192, 12_000))
+
+
 def test_good_labelled_documents_stay(spark):
     d = "/root/testdata/sf0.1"
     found = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
