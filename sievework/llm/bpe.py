@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -47,11 +49,20 @@ def byte_signs() -> list[str]:
     return out
 
 
+def newer_signs() -> re.Pattern:
+    """Code points that Python's Unicode tables don't know: what they are in lower case, or whether they are letters, depends on the library's version."""
+    unknown = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cn", "Cs")]
+    starts = [c for c, before in zip(unknown, [-2, *unknown]) if c != before + 1]
+    ends = [c for c, after in zip(unknown, [*unknown[1:], -2]) if c != after - 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
+
+
 class WordBPE:
     """A BPE vocabulary file whose words end in a suffix: lower case, words by a pattern, byte-level signs."""
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -62,6 +73,9 @@ class WordBPE:
         self.vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         # \s is stated as a property, so that it means the same in any pattern library
         self.words = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        # a text with newer code points is lower-cased and cut by the library; the merges are the same
+        self.newer, self.normalizer = newer_signs(), Tokenizer.from_file(path).normalizer
+        self.cutter = pre_tokenizers.Split(Regex(pre[0]["pattern"]["Regex"]), pre[0]["behavior"].lower(), pre[0]["invert"])
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokens = [""] * (1 + max([*self.vocab.values(), *self.added.values()]))
@@ -171,6 +185,9 @@ class WordBPE:
             for piece in self.specials.split(text):
                 out += [piece] if piece in self.added else self.parts(piece)
             return out
+        if not text.isascii() and self.newer.search(text):
+            text = self.normalizer.normalize_str(text.encode("utf-8", "replace").decode("utf-8"))
+            return [w for w, _ in self.cutter.pre_tokenize_str(text)]
         # one sign at a time, so that the final sigma stays an ordinary one
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.words.findall(text)
@@ -242,8 +259,9 @@ def word_bpe(model: str) -> WordBPE:
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "word_bpe_49k.json") -> DataFrame:
     """id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of every row.
 
-    Null text counts as empty (no ids, empty decoding). Ids are only carried;
-    rows that repeat give rows that repeat. Other columns are not read.
+    Null text counts as empty (no ids, empty decoding). Ids are only carried: null ones stay null, and
+    rows that repeat give rows that repeat. Very long texts are encoded whole; a worker holds the words of 128 texts at once. An empty table
+    gives an empty result. Other columns are not read, whatever their names.
     """
 
     def make():
@@ -269,7 +287,11 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "word_bpe_49k.json") -> DataFrame:
-    """id and `ids` (array of int) of every row; null text gives an empty array."""
+    """id and `ids` (array of int) of every row.
+
+    Null and empty texts give an empty array. Ids are only carried, null and repeated ones, too. A very long text is one row of
+    as many ids. An empty table gives an empty result. Other columns are not read.
+    """
 
     def make():
         own = word_bpe(model)
@@ -279,7 +301,11 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def bpe_decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = "word_bpe_49k.json") -> DataFrame:
-    """id and `text` of every row of ids; null ids give the empty text."""
+    """id and `text` of every row of ids (column `ids`).
+
+    Null and empty arrays give the empty text; an id that the vocabulary lacks is an error. Ids of rows are only carried, null and repeated ones, too. An
+    empty table gives an empty result. Other columns are not read.
+    """
 
     def make():
         own = word_bpe(model)

@@ -43,6 +43,23 @@ def test_encode_then_decode(docs, texts):
         assert back[i] == library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_library():
+    """Also those that are newer than the tables of Python's standard library."""
+    own, library = bpe.word_bpe("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    signs = [chr(c) for c in [*range(0x20000), *range(0x2F800, 0x2FA20), 0x31350, *range(0xE0000, 0xE01F0), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b1{c} {c}É" for c in signs]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert not [hex(ord(c)) for c, t, e in zip(signs, texts, want) if own.encode(t) != e.ids]
+
+
+def test_newer_code_points_among_added_tokens(spark):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["x\u1c89Y<|endoftext|>\ua7cb  Z\u0558", "\u1c89" * 3000 + " end", "ΑΣ\u0c5c ΣΑΣ"]
+    for r in bpe.bpe_round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids_sha256, r.decoded_sha256) == (sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_merging_long_and_short_words_together():
     own, library = bpe.word_bpe("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rng = random.Random(0)
