@@ -188,6 +188,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `fit_chars` is the number of characters that fit the limit (all, where it is
     kept), read off the prefix counts. Null text counts as empty: 0 bytes, 0
     tokens. Ids are only carried: null and repeated ones are kept as they are.
+    Very long texts are counted whole, part by part. An empty table gives an empty result.
     Other columns are not read.
     """
 
