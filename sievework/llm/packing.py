@@ -52,7 +52,11 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "byte_bpe_50k.json", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every row's ids, the end id included: id, start, length, ids_crc32, doc_tokens."""
+    """Pieces of every row's ids, the end id included: id, start, length, ids_crc32, doc_tokens.
+
+    Null and empty texts have the end id alone. Very long texts are encoded whole and cut every `length` ids. Ids of rows are only
+    carried, null and repeated ones, too. An empty table gives no pieces. Other columns are not read.
+    """
 
     def make():
         own = byte_bpe(model)
@@ -76,7 +80,12 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns as `token_pieces` returns them)."""
+    """Adds sequence_id and offset to pieces (columns as `token_pieces` returns them).
+
+    Pieces, not documents, are dealt to groups at random, so the pieces of a long document lie in several groups. The deal hashes
+    the whole record: rows of one id (all null ids, too) are spread, and only rows equal in every column stand together, in
+    order. Pieces of equal length keep that order. An empty table gives an empty result; other columns are dropped.
+    """
     schema = f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def place(part: int, done: int, rows: pa.Table) -> tuple[int, pa.Table]:
@@ -101,7 +110,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = LENGTH, grou
             yield from place(part, done, pa.Table.from_batches(held))[1].to_batches()
 
     rows = pieces.select(id_col, "start", "length", "ids_crc32", "doc_tokens")
-    dealt = rows.withColumn("deal", F.xxhash64(id_col, "start", F.lit(3))).repartition("deal").sortWithinPartitions("deal", *rows.columns)
+    dealt = rows.withColumn("deal", F.xxhash64(*rows.columns, F.lit(3))).repartition("deal").sortWithinPartitions("deal", *rows.columns)
     return dealt.select(*rows.columns).mapInArrow(run, schema)
 
 
