@@ -8,7 +8,7 @@ that shrank, and all other draws stand.
 
 A further shard opens a region of its own: only the draw at the root gains a
 child, so it takes rows only into itself. `law` is therefore `key`: the id and
-the number of shards decide.
+the number of shards decide. A grown tree of any other form is refused.
 """
 
 from __future__ import annotations
@@ -27,7 +27,13 @@ Tree = dict[str, dict[str, dict[int, float]]]
 
 
 def tree(shards: int, first: int = 16) -> Tree:
-    """Regions of two racks of four up to the first build-out, then a region for each further shard."""
+    """Regions of two racks of four for the `first` shards, then a region for each further one.
+
+    Fewer shards than the first build-out would move rows among old shards when they grow, so that is an error;
+    a store that began with 9 shards has `first=9` for ever.
+    """
+    if not 1 <= first <= shards:
+        raise ValueError("there must be as many shards as in the first build-out, and one at least")
     out: Tree = {}
     for s in range(shards):
         if s < first:
@@ -38,6 +44,18 @@ def tree(shards: int, first: int = 16) -> Tree:
     return out
 
 
+def leaves(shards: Tree) -> list[int]:
+    """The numbers of a tree's shards."""
+    return [s for racks in shards.values() for rack in racks.values() for s in rack]
+
+
+def grows_by_regions(shards: Tree, grown: Tree) -> bool:
+    """Whether `grown` has all regions of `shards` as they are, and further ones with further shards: then no row moves between old shards."""
+    old = leaves(shards)
+    added = [s for region, racks in grown.items() if region not in shards for rack in racks.values() for s in rack]
+    return all(grown.get(region) == racks for region, racks in shards.items()) and len(set(old + added)) == len(old + added)
+
+
 def _nearest(key: Column, children: list[tuple[str, float, Column]]) -> Column:
     """What belongs to the child with the smallest draw; ties go to the first."""
     if len(children) == 1:
@@ -67,31 +85,39 @@ def shard_of(key: Column, shards: Tree) -> Column:
     return _nearest(key, regions)
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: Tree | None = None, grown: Tree | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
+    `shards` is the tree (16 equal shards if not told otherwise), `grown` the one after the next growth (one more
+    shard); weights may differ. A grown tree that would move rows between old shards raises ValueError.
+
     `size` is the UTF-8 bytes of the text (null: none) plus 1, `text_crc32` the
-    unsigned crc32 of those bytes. Slots count from 0 without gaps in each shard, in
-    the order of a hash of the id; equal ids (and all null ids) share a shard and
-    stand next to each other, by size and crc32. A shard's slots are
+    unsigned crc32 of those bytes. Equal ids share a shard, and so do all null ids. Slots count from 0 without gaps in
+    each shard, in the order of a hash of id, size and crc32, so rows that share an id are dealt over slices; only rows equal in
+    all three (repeated rows) stand together. A shard's slots are
     numbered in slices of the hash, each by itself, and the slices' offsets come from
-    counts of shards times shuffle partitions, so no task holds a shard. An empty
-    table gives an empty result; other columns are not read.
+    counts of shards times shuffle partitions, so no task holds a shard. Very long texts only pass through
+    crc32. An empty table gives an empty result; other columns are not read.
     """
+    shards = shards or tree(16)
+    if grown is None:
+        new = max(leaves(shards)) + 1
+        grown = {**shards, f"added{new}": {f"added{new}": {new: 1.0}}}
+    if not grows_by_regions(shards, grown):
+        raise ValueError("the grown tree must add regions and leave the others as they are")
     slices = shuffle_width(docs.sparkSession)
-    key = F.col(id_col)
-    order = F.shiftrightunsigned(F.xxhash64(key, F.lit("slot")), 32)
-    place = (shard_of(key, tree(shards)).alias("shard"), order.alias("order"), F.floor(order * slices / F.lit(float(2**32))).cast("int").alias("slice"))
-    counts = docs.select(*place).groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
+    key, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    held = docs.select(key.alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    order = F.shiftrightunsigned(F.xxhash64("id", "size", "text_crc32", F.lit("slot")), 32)
+    rows = held.select(
+        "*", shard_of(F.col("id"), shards).alias("shard"), order.alias("order"),
+        F.floor(order * slices / F.lit(float(2**32))).cast("int").alias("slice"), shard_of(F.col("id"), grown).alias("grown_shard"),
+    )
+    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        key, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        *place, shard_of(key, tree(shards + 1)).alias("grown_shard"),
-    )
-    own = Window.partitionBy("shard", "slice").orderBy("order", id_col, "size", "text_crc32")
+    own = Window.partitionBy("shard", "slice").orderBy("order", "id", "size", "text_crc32")
     numbered = rows.withColumn("place", F.row_number().over(own) - 1)
     return numbered.join(F.broadcast(offsets), ["shard", "slice"]).select(
-        id_col, "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), (F.col("first") + F.col("place")).cast("long").alias("slot"), F.col("grown_shard").cast("int")
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), (F.col("first") + F.col("place")).cast("long").alias("slot"), F.col("grown_shard").cast("int")
     )
