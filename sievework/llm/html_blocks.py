@@ -23,7 +23,7 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 
 #: Words of class, id and role names, by what they usually mark.
 NAME_WORDS = {
-    "ad": "ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored adsense dfp outbrain taboola",
+    "ad": "ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored adsense adsbox adbox adunit adslot dfp outbrain taboola",
     "menu": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager topbar toolbar skip tabs contentinfo",
     "side": "sidebar side rail widget widgets aside complementary related recommended popular trending teaser",
     "foot": "footer foot copyright legal colophon bottom",
@@ -44,6 +44,17 @@ class Block(NamedTuple):
     tag: str
     #: characters inside links
     linked: int
+    #: where it stands in a page that says where its article is: "inside", "outside"; "unsaid" in a page that doesn't
+    place: str = "unsaid"
+
+
+def _placed(found: list[Block]) -> list[Block]:
+    """The blocks with their places: by article and main elements, else by names of main parts; comments may be articles, too."""
+    for marks in ({"in:article", "in:main"}, {"name:main"}):
+        inside = [bool(marks & b.under) and "name:comment" not in b.under for b in found]
+        if any(inside):
+            return [b._replace(place="inside" if x else "outside") for b, x in zip(found, inside)]
+    return found
 
 
 def _word_marks(attributes: str) -> set[str]:
@@ -122,4 +133,4 @@ def blocks(html: str) -> list[Block]:
             own.add(f"in:article>{tag}")
         stack.append((tag, up | own))
     close()
-    return out
+    return _placed(out)

@@ -28,14 +28,15 @@ def text_features(block: Block) -> list[str]:
     """Features of the text and the block's own tag."""
     text, n = block.text, len(block.text)
     share = block.linked / n
-    out = ["bias", f"tag:{block.tag}", "size:" + ("xs" if n < 20 else "s" if n < 80 else "m" if n < 250 else "l")]
+    size = "xs" if n < 20 else "s" if n < 80 else "m" if n < 250 else "l"
+    out = ["bias", f"tag:{block.tag}", f"size:{size}", f"place:{block.place}", f"place:{block.place} tag:{block.tag}", f"place:{block.place} size:{size}"]
     out.append("links:" + ("none" if share == 0 else "some" if share < 0.5 else "most"))
     if text[-1] in ".!?…\"”»)":
         out.append("ends")
     if n < 200 and _RIGHTS.search(text):
-        out.append("rights")
+        out += ["rights", f"place:{block.place} rights"]
     if n < 200 and _CALLS.search(text):
-        out.append("calls")
+        out += ["calls", f"place:{block.place} calls"]
     return out
 
 

@@ -1,7 +1,7 @@
 """Labelled pages for the block classifier, made by rule from a seed: html, and the texts of its main blocks.
 
-Layouts vary in what a site does: semantic tags or divisions, names or none,
-end tags left out, notices and adverts before or inside the article, comments
+Layouts vary in what a site does: semantic tags or divisions, telling names, names
+that say nothing, or none, wrappers around all or parts, end tags left out, bylines and headers inside the article, notices and adverts before or inside the article, comments
 inside or after it. Texts are invented words.
 """
 
@@ -32,6 +32,18 @@ class _Page:
         x = self.rng.random()
         return "" if x < 0.25 else f' {"class" if x < 0.75 else "id"}="{self.rng.choice(names)}"'
 
+    def blank_name(self) -> str:
+        """A class or id that says nothing, or none."""
+        x = self.rng.random()
+        made = self.some("x", "css-", "c", "sc-", "_", "wrap", "row", "col-md-", "box", "inner", "container", "layout") + self.some("", str(self.rng.randrange(99)), "".join(self.rng.choice("abcdefghknpqrstuvwxyz0123456789") for _ in range(6)))
+        return "" if x < 0.3 else f' {"class" if x < 0.8 else "id"}="{made}"'
+
+    def wrapped(self, inside: str) -> str:
+        for _ in range(self.rng.choice((0, 0, 0, 1, 2))):
+            tag = self.some("div", "div", "section")
+            inside = f"<{tag}{self.blank_name()}>{inside}</{tag}>"
+        return inside
+
     def keep(self, text: str) -> str:
         self.main.append(" ".join(text.split()))
         return text
@@ -53,7 +65,8 @@ class _Page:
 
     def notice(self) -> str:
         name = self.some("cookie-notice", "consent", "gdpr-banner", "newsletter", "alert", "paywall", "notice")
-        return f'<div {self.some("class", "id")}="{name}"><p>{self.sentences(1, 3)}</p>{self.some("", "<button>" + self.words(1, 2) + "</button>")}</div>'
+        tag = self.some("div", "div", "div", "section", "aside")
+        return f'<{tag} {self.some("class", "id")}="{name}"><p>{self.sentences(1, 3)}</p>{self.some("", "<button>" + self.words(1, 2) + "</button>")}</{tag}>'
 
     def form(self) -> str:
         return f'<form action="/s"{self.name("search", "login-form", "signup")}><label>{self.words(1, 4)}</label><input name="q">{self.some("", "<p>" + self.sentences(1, 2) + "</p>")}<button>{self.words(1, 2)}</button></form>'
@@ -63,6 +76,8 @@ class _Page:
 
     def footer(self) -> str:
         inside = self.some(f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 2)}", f"<p>&copy; 2020 {self.words(2, 6)}</p><p>{self.sentences(1, 3)}</p>", self.menu())
+        if self.rng.random() < 0.15:
+            return f"<p>{self.some('<small>', '<font size=1>', '')}{self.some('&copy; 2019', 'Copyright 2004', 'All rights reserved')} {self.words(1, 5)}"
         tag = self.some("footer", "footer", "footer", "div")
         return f"<{tag}{self.name('footer', 'site-footer', 'colophon') if tag == 'footer' else ' class=' + chr(34) + 'footer' + chr(34)}>{inside}</{tag}>"
 
@@ -81,7 +96,10 @@ class _Page:
 
     def paragraph(self, end: bool) -> str:
         x = self.rng.random()
-        text = self.keep(self.sentences(1, 8) if x < 0.8 else self.words(1, 12) + self.some("", ".", ":"))
+        text = self.sentences(1, 8) if x < 0.8 else self.words(1, 12) + self.some("", ".", ":")
+        if self.rng.random() < 0.02:  # articles, too, speak of rights and subscriptions
+            text = self.some("All rights reserved.", "Sign up for the newsletter.", f"Advertisement {text}", f"Copyright {text}", "Share this story.", f"Read more: {text}")
+        self.keep(text)
         if x > 0.9:
             a, _, b = text.partition(" ")
             text = f"{a} <b>{b}</b>" if b else a
@@ -92,9 +110,14 @@ class _Page:
         return f"<p>{text}</p>" if end else f"<p>{text}"
 
     def article(self) -> str:
-        end, out = self.rng.random() < 0.85, []
+        end, out, top = self.rng.random() < 0.85, [], []
         if self.rng.random() < 0.9:
-            out.append(f"<h1>{self.keep(self.words(2, 10).capitalize())}</h1>")
+            top.append(f"<h1>{self.keep(self.words(2, 10).capitalize())}</h1>")
+        if self.rng.random() < 0.15:
+            tag = self.some("p", "div")
+            top.append(f"<{tag}{self.some('', self.blank_name(), ' class=' + chr(34) + self.some('byline', 'author', 'dek') + chr(34))}>{self.keep(self.words(2, 8))}</{tag}>")
+        heading = "".join(top)
+        out.append(f"<header>{heading}</header>" if top and self.rng.random() < 0.12 else heading)
         for _ in range(self.rng.choice((1, 2, 3, 5, 8, 13))):
             x = self.rng.random()
             if x < 0.72:
@@ -113,30 +136,41 @@ class _Page:
                 out.append(f"<table>{cells}</table>")
             elif x < 0.90:
                 out.append(f"<pre>{self.keep(self.words(5, 30))}</pre>")
-            elif x < 0.94:
+            elif x < 0.93:
                 out.append(self.advert())
-            elif x < 0.97:
+            elif x < 0.955:
                 out.append(self.sidebar())
+            elif x < 0.975:
+                out.append(self.notice())
+            elif x < 0.983:
+                out.append(self.form())
             else:
                 out.append(f'<div class="{self.some("share", "social-share")}"><a href="#">{self.words(1, 2)}</a> <a href="#">{self.words(1, 2)}</a></div>')
         if self.rng.random() < 0.15:
             out.append(self.comments())
         way = self.rng.random()
-        body = "".join(out)
-        if way < 0.55:
+        body = self.wrapped("".join(out))
+        if way < 0.4:
             return f"<article{self.name('post', 'entry', 'story')}>{body}</article>"
-        if way < 0.7:
+        if way < 0.52:
             return f"<main{self.name('content', 'main')}><article>{body}</article></main>"
-        if way < 0.8:
+        if way < 0.6:
             return f"<main>{body}</main>"
-        return f'<div {self.some("class", "id")}="{self.some("content", "post-content", "entry", "articleBody", "main", "story")}">{body}</div>'
+        if way < 0.78:
+            return f'<div {self.some("class", "id")}="{self.some("content", "post-content", "entry", "articleBody", "main", "story")}">{body}</div>'
+        if way < 0.95:
+            return f"<div{self.blank_name()}>{body}</div>"
+        if "<table>" in body or not end:
+            return body
+        side = "<br>".join(f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(self.rng.randrange(2, 6)))
+        return f"<table><tr>{self.some('', '<td>' + side + '</td>')}<td>{body}</td></tr></table>"
 
     def html(self) -> str:
         head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
         before = [f() for f, p in ((self.header, 0.35), (self.menu, 0.75), (self.notice, 0.3), (self.form, 0.2), (self.advert, 0.5)) if self.rng.random() < p]
-        article = self.article()
+        article = self.wrapped(self.article())
         after = [f() for f, p in ((self.comments, 0.3), (self.sidebar, 0.35), (self.advert, 0.25), (self.form, 0.15), (self.notice, 0.15), (self.footer, 0.85)) if self.rng.random() < p]
-        return head + "".join(before) + article + "".join(after) + "</body></html>"
+        return head + self.wrapped("".join(before) + article + "".join(after)) + "</body></html>"
 
 
 def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[str, list[str]]]:
