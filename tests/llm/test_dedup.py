@@ -1,6 +1,7 @@
 """Exact dedup (8), SimHash (10) and sharding (4) against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -106,40 +107,85 @@ def test_simhash_on_a_table(spark):
     assert [got[i].component_id for i in ids] == [ids[c] for c in want]
 
 
-@pytest.mark.parametrize("slice_variants", [2_000_000, 1_500])
-def test_links_connect_all_near_fingerprints(spark, monkeypatch, slice_variants):
-    monkeypatch.setattr(simhash, "SLICE_VARIANTS", slice_variants)
-    rng = np.random.default_rng(3)
-    fps = [0, 2**64 - 1, *rng.integers(0, 2**64, 60, dtype=np.uint64).tolist()]
-    for base in fps[:30]:  # partners at each distance from 1 to 6, some in chains
+def fingerprints_with_partners(n, seed=3):
+    """Random fingerprints, two extreme ones, and partners at each distance from 1 to 6, some in chains."""
+    rng = np.random.default_rng(seed)
+    fps = [0, 2**64 - 1, *rng.integers(0, 2**64, n, dtype=np.uint64).tolist()]
+    for base in fps[: n // 2]:
         for d in range(1, 7):
             fps.append(int(base) ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)))
-    fps = list(dict.fromkeys(map(int, fps)))
-    for part_bits in (0, 3):
-        if part_bits == 0:
-            a, b = simhash.meet(np.array(fps, np.uint64), 0, 0, 4)
-            found = list(zip(a.tolist(), b.tolist()))
-        else:
-            table = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
-            found = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(table).collect()]
-        place = {x: i for i, x in enumerate(fps)}
-        root = list(range(len(fps)))
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in found:
-            x, y = find(place[a]), find(place[b])
-            root[max(x, y)] = min(x, y)
-        assert [find(i) for i in range(len(fps))] == plain_components(fps)
+    return list(dict.fromkeys(map(int, fps)))
+
+
+def joined(fps, found):
+    place = {x: i for i, x in enumerate(fps)}
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        x, y = find(place[a]), find(place[b])
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("slice_variants", [2_000_000, 1_500])
+def test_one_partition_finds_all_links(monkeypatch, slice_variants):
+    monkeypatch.setattr(simhash, "SLICE_VARIANTS", slice_variants)
+    fps = fingerprints_with_partners(60)
+    a, b = simhash.meet(np.array(fps, np.uint64), 0, 0, 4)
+    assert joined(fps, zip(a.tolist(), b.tolist())) == plain_components(fps)
+
+
+@pytest.mark.parametrize("bits,slice_variants", [(7, 2_000_000), (7, 200), (13, 2_000_000)])
+def test_links_at_any_number_of_partitions(spark, monkeypatch, bits, slice_variants):
+    """13: as many partitions as two billion fingerprints take."""
+    monkeypatch.setattr(simhash, "SLICE_VARIANTS", slice_variants)
+    monkeypatch.setattr(simhash, "SLICE_COPIES", 500)
+    fps = fingerprints_with_partners(60)
+    monkeypatch.setattr(simhash, "PART_VARIANTS", -(-len(fps) * 2081 // 2**bits))
+    assert simhash.part_bits(len(fps)) == bits
+    table = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    found = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(table).collect()]
+    assert joined(fps, found) == plain_components(fps)
+
+
+def test_partitions_grow_smoothly_and_every_variant_is_listed_once():
+    bits = [simhash.part_bits(n) for n in (0, 1, 10**6, 8 * 10**6, 8 * 10**6 + 1, 16 * 10**6, 10**8, 10**9, 5 * 10**10)]
+    assert bits == sorted(bits) and bits[0] == 7 and bits[3] == bits[4] and bits[5] <= bits[4] + 1
+    masks, fps = simhash.ball(2), np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64)
+    for k in (7, 12, 16, 20):
+        parts = np.unique(simhash.parities(masks, k))
+        assert len(parts) == 1 + k + k * (k - 1) // 2
+        got = {}
+        for to, begins, copies in simhash.dealt(fps, k):
+            for part, some in zip(to.tolist(), np.split(copies, begins[1:])):
+                got.setdefault(part, []).extend(some.tolist())
+        want = {}
+        for f in fps.tolist():
+            for part in set(simhash.parities(masks ^ np.uint64(f), k).tolist()):
+                want.setdefault(part, []).append(f)
+        assert {p: sorted(x) for p, x in got.items()} == {p: sorted(x) for p, x in want.items()}
+
+
+def test_large_group_of_near_copies_is_dealt_over_many_partitions():
+    """20,000 fingerprints within 8 bits of one: no partition of 512 holds more than four times its share of variants."""
+    rng = np.random.default_rng(8)
+    center = rng.integers(0, 2**64, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(20_000)], np.uint64)
+    fps, masks = np.unique(center ^ flips), simhash.ball(2)
+    load = np.bincount(np.concatenate([simhash.parities(fps ^ m, 9) for m in masks]), minlength=512)
+    assert load.sum() == len(fps) * len(masks) and load.max() < 4 * load.mean()
 
 
 def test_hash_is_linear():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**64, (2, 500), dtype=np.uint64)
-    assert (simhash.linear_hash(a ^ b, 9) == simhash.linear_hash(a, 9) ^ simhash.linear_hash(b, 9)).all()
+    for salt in (0, 1):
+        assert (simhash.parities(a ^ b, 9, salt) == simhash.parities(a, 9, salt) ^ simhash.parities(b, 9, salt)).all()
     assert len(simhash.ball(2)) == len(np.unique(simhash.ball(2))) == 2081
 
 
@@ -181,6 +227,40 @@ def plain_similar_components(texts):
     return [find(a) for a in range(len(texts))]
 
 
+def test_common_shingles_of_sets(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, n, dtype=np.uint64)) for n in (0, 1, 5, 90, 300, 300, 40, 700)]
+    monkeypatch.setattr(near_dedup, "SLICE_COLUMNS", 37)
+    got = near_dedup.common_shingles(sets[:3] + sets[4:6], sets[3:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3] + sets[4:6]]
+    assert near_dedup.common_shingles(sets[:1], sets[:1]).tolist() == [[0]]
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for at in rng.choice(len(out), max(1, round(len(out) * share)), replace=False):
+        out[at] = f"x{rng.integers(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("all_pairs,block", [(32, 512), (2, 7), (10, 40)])
+def test_large_group_of_near_copies_and_a_common_passage(spark, monkeypatch, all_pairs, block):
+    """Copies of one text with few and many changes, copies of copies, and texts that share half of their words."""
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    base = [f"w{k}" for k in range(120)]
+    copies = [edited(rng, base, rng.choice((0.01, 0.02, 0.05, 0.09))) for _ in range(70)]
+    copies += [edited(rng, copies[k], 0.02) for k in range(0, 70, 2)]
+    passage = [f"p{k}" for k in range(60)]
+    common = [passage + [f"y{rng.integers(10**6)}" for _ in range(rng.choice((8, 14, 40)))] for _ in range(60)]
+    texts = [" ".join(x) for x in copies + common] + [" ".join(base)]
+    want = plain_similar_components(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc: r.component_id for r in near_dedup.similar_groups(rows.repartition(5)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 160
+
+
 @pytest.mark.parametrize("all_pairs", [32, 2])  # 2: most keys take the way of large groups
 def test_pipeline_drops_near_copies_by_shingles(spark, monkeypatch, all_pairs):
     """Copies with 1 to 4 % of the words changed; SimHash at 4 bits misses most of them."""
@@ -215,16 +295,66 @@ def test_sharding(docs, texts):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def plain_shard(key, shards):
+    """The descent by plain numbers: the smallest exponential draw of each level, from the xxhash64 that Spark chains over key and name."""
+
+    def draw(name, weight):
+        h = xxhash.xxh64_intdigest(name.encode(), seed=xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed=42))
+        return -math.log(((h >> 12) + 1) / 2**52) / weight
+
+    size = lambda x: sum(map(size, x.values())) if isinstance(x, dict) else x
+    for level in ("region", "rack", "shard"):
+        # names sort by text, shard numbers by value; min takes the first of equal draws
+        chosen = min(sorted(shards), key=lambda name: draw(f"{level} {name}", size(shards[name])))
+        shards = shards[chosen]
+    return chosen
+
+
+@pytest.mark.parametrize("shards", [sharding.tree(16), sharding.tree(19), {"a": {"x": {0: 1.0, 1: 2.5}, "y": {2: 0.5}}, "b": {"x": {7: 3.0}}}])
+def test_descent_equals_plain_draws(spark, shards):
+    keys = [-5, 0, *range(1, 3000, 7), 2**40 + 1]
+    rows = spark.createDataFrame([(k,) for k in keys], "id long").select("id", sharding.shard_of(F.col("id"), shards).alias("s"))
+    assert {r.id: r.s for r in rows.collect()} == {k: plain_shard(k, shards) for k in keys}
+
+
+def test_query_with_an_own_tree(docs, texts, spark):
+    own = {"big": {"r": {0: 3.0, 4: 1.0}}, "small": {"r": {2: 1.0}}}
+    rows = sharding.shard(docs, own).collect()
+    assert {r.shard for r in rows} <= {0, 2, 4} and all(r.shard == plain_shard(r.doc_id, own) and r.grown_shard in (r.shard, 5) for r in rows)
+    grown = {**own, "more": {"r": {9: 2.0}}}
+    assert {r.grown_shard for r in sharding.shard(docs, own, grown).collect()} <= {0, 2, 4, 9}
+    for bad in (sharding.tree(17), {**own, "small": {"r": {2: 2.0}}}, {**own, "more": {"r": {4: 1.0}}}):
+        with pytest.raises(ValueError):
+            sharding.shard(docs, own, bad)
+    for shards, first in ((15, 16), (0, 0)):
+        with pytest.raises(ValueError):
+            sharding.tree(shards, first)
+
+
 def test_shards_are_even_and_growth_moves_only_to_the_new_one(spark):
-    keys = spark.range(40_000).select(F.col("id"), *[sharding.shard_of(F.col("id"), sharding.tree(n)).alias(f"s{n}") for n in (16, 17, 18, 19)])
-    counts = [r["count"] for r in keys.groupBy("s16").count().collect()]
+    sizes = [(first, n) for first, last in ((1, 4), (9, 12), (15, 17), (16, 20)) for n in range(first, last)]
+    columns = [sharding.shard_of(F.col("id"), sharding.tree(m, first)).alias(f"s{first}_{m}") for first, n in sizes for m in (n, n + 1)]
+    keys = spark.range(40_000).select(*{c._jc.toString(): c for c in columns}.values())
+    counts = [r["count"] for r in keys.groupBy("s16_16").count().collect()]
     assert len(counts) == 16 and max(counts) < 1.1 * min(counts)
-    for n in (16, 17, 18):
-        moved = keys.where(f"s{n} <> s{n + 1}")
-        assert moved.where(f"s{n + 1} <> {n}").count() == 0
+    for first, n in sizes:
+        moved = keys.where(f"s{first}_{n} <> s{first}_{n + 1}")
+        assert moved.where(f"s{first}_{n + 1} <> {n}").count() == 0
         assert abs(moved.count() / 40_000 - 1 / (n + 1)) < 0.01
 
 
+def test_slots_where_one_id_holds_most_rows(spark):
+    """Null and repeated ids with long texts: gapless slots, and rows of one id lie in many slices."""
+    rows = [(None, "x" * (i % 900)) for i in range(1500)] + [(7, "word " * i) for i in range(500)] + [(None, None)] * 20 + [(8, "y" * 300_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1 and max(r["size"] for r in got) == 300_001
+
+
 def test_weights_decide_and_changes_stay_in_their_subtree(spark):
     before, after = sharding.tree(16), sharding.tree(16)
     after["region0"]["rack0"][2] = 3.0
