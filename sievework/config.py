@@ -19,6 +19,8 @@ class CullConfig:
     batch_size: int = 16
     request_delay: float = 0.5
     request_timeout: float = 60.0
+    #: calls to the model server at the same time
+    request_concurrency: int = 8
     #: "first": the earliest member stands for a cluster; "best": the one with the highest score
     representative: str = "first"
     #: quota of a folder in a batch
@@ -31,6 +33,8 @@ class CullConfig:
     def __post_init__(self) -> None:
         if not -1 <= self.similarity_threshold <= 1:
             raise ValueError("similarity_threshold must lie in [-1, 1]")
+        if self.batch_size < 1 or self.request_concurrency < 1:
+            raise ValueError("batch_size and request_concurrency must be at least 1")
         if self.target < 0 or self.llm_candidates < 0 or self.least < 0 or self.most < 0:
             raise ValueError("counts must not be negative")
         if self.representative not in ("first", "best") or self.scope not in ("recursive", "direct"):

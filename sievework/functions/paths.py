@@ -49,6 +49,11 @@ def host(url: Column) -> Column:
     return F.split_part(url, F.lit("/"), F.lit(3))
 
 
+def base_url(url: Column) -> Column:
+    """An address without slashes at its end."""
+    return F.rtrim(url, F.lit("/"))
+
+
 def content_hash(content: Column) -> Column:
     """Sixteen hex digits of the SHA-256 of the bytes."""
     return F.substring(F.sha2(content, 256), 1, 16)

@@ -32,7 +32,7 @@ def members(rooted: DataFrame, numbered: DataFrame, id_col: str = "vec_id") -> D
 
 
 def member_lists(rooted: DataFrame, numbered: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """cluster_id, representative and the ordered list of members; for clusters that fit a row."""
+    """cluster_id, representative and the ordered list of members, one row a cluster: for reports and files of a run. `members` has a row a member and no such bound."""
     return members(rooted, numbered, id_col).groupBy("cluster_id").agg(F.min(id_col).alias("representative"), F.array_sort(F.collect_list(id_col)).alias("members"))
 
 

@@ -4,9 +4,10 @@ Each round rewrites the links: every node points its larger neighbours, then
 its smaller ones, at the smallest node it knows, so a component shrinks to a
 star around its smallest node in a number of rounds that grows with the
 logarithm of its size. The minimum of a neighbourhood is combined before the
-shuffle, and the joins spread a hub's rows (adaptive skew join), so one giant
+shuffle. Where a hub's rows could be more than a task should take, the minima are
+written first: then the joins read two plain tables, and a skewed partition is split (adaptive skew join), so one giant
 component does not land in one task. Each round is written, so a lost executor
-costs part of one round.
+costs part of one round, and what a round has replaced is deleted.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import release, stored
+
+
+#: Links from which minima are written before they are joined: as many rows (two numbers each) fit one task with ease.
+HUB_LINKS = 4_000_000
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,11 +52,16 @@ def connected_components(links: DataFrame, write: Callable[[DataFrame, str], Dat
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        held = [write(low, "minima")] if state[0] >= HUB_LINKS else []
+        low = held[0] if held else low
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = write(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
+        held += [write(low, "minima")] if state[0] >= HUB_LINKS else []
+        low = held[-1] if held else low
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        now = write(small, "links")
+        old, now = now, write(small, "links")
+        release(old, large, *held)
         before, state = state, _state(now)
         if state == before:
             break

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .numbering import number_rows
 
 
 def top(df: DataFrame, n: int, by: Column, tie: Column) -> DataFrame:
@@ -31,9 +32,16 @@ def folder_top(df: DataFrame, folder: str, target: Column, most: int, by: Column
 
 
 def statistics(df: DataFrame, score: str) -> DataFrame:
-    """mean, population std, min, max and interpolated median; nulls for an empty table."""
+    """mean, population std, min, max and interpolated median; nulls for an empty table.
+
+    The median comes from the one or two middle rows of the sorted scores, so no task holds all distinct scores.
+    """
     s = F.col(score)
-    return df.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.percentile(s, F.lit(0.5)).alias("median"))
+    plain = df.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.count(s).alias("n"))
+    placed = number_rows(df.where(s.isNotNull()).select(s.cast("double").alias("s")), [F.col("s")], "at")
+    n = placed.count()
+    middle = placed.where(F.col("at").isin((n - 1) // 2, n // 2)).agg(F.avg("s").alias("median"), F.lit(n).cast("long").alias("n"))
+    return plain.join(F.broadcast(middle), "n").select("mean", "std", "min", "max", "median")
 
 
 def output_names(ranked: DataFrame, name: Column) -> DataFrame:

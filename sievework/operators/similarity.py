@@ -2,10 +2,10 @@
 
 `tiles` is exact: rows fall into blocks by a hash of their id, each pair of
 blocks is one tile, and a tile is one matrix product. The number of blocks
-follows the number of rows, so a tile's memory is bounded, and tiles of a hot
+follows the number of rows, folder by folder, so a tile's memory is bounded, the rows of small folders are copied
+once whatever the largest folder is, and tiles of a hot
 folder spread over tasks like any others. `expression` is the same join as a
-SQL expression, for small inputs and for checks. `lsh` is approximate and only
-taken when asked for.
+SQL expression, for small inputs and for checks.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, doubles, normalize
+from ..functions.vectors import cosine, doubles
+from ..sources.shared import stored
 
 #: Rows of a block; a tile holds two blocks and their product.
 BLOCK = 2_048
+#: Rows of a table (two numbers each) up to which it is sent to all executors.
+BROADCAST_ROWS = 500_000
 
 
 def _unit(vectors) -> np.ndarray:
@@ -31,14 +34,17 @@ def _unit(vectors) -> np.ndarray:
 
 def _tiles(df: DataFrame, id_col: str, vec_col: str, within: str | None, block: int) -> tuple[DataFrame, list[str]]:
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+    folder = F.lit(0).alias("folder") if within is None else F.col(within).alias("folder")
+    own = rows.select(folder, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     if within is None:
-        most = rows.count()
+        own = own.withColumn("n", F.lit(max(1, math.ceil(rows.count() / block))))
     else:
-        most = rows.groupBy(within).count().agg(F.max("count")).first()[0] or 0
-    n = max(1, math.ceil(most / block))
-    folder = F.lit(0).alias("folder") if within is None else F.col(within).alias("folder")
-    own = rows.select(folder, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("r"), F.greatest(k, F.col("block")).alias("c")))
+        # only folders of more than a block take part: there are at most rows / block of them
+        large = stored(own.groupBy("folder").count().where(F.col("count") > block).select("folder", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("n")), "large-folders")
+        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+        own = own.where("folder IS NOT NULL").join(large, "folder", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("r"), F.greatest(k, F.col("block")).alias("c")))
     return own.select("folder", "id", "v", "block", F.explode(pairs).alias("t")).select("folder", "id", "v", "block", "t.r", "t.c"), ["folder", "r", "c"]
 
 
@@ -63,10 +69,8 @@ def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_c
     """All pairs i < j with cosine at or over the threshold: i, j, sim, and the column `within` when given (pairs never cross it)."""
     if method == "expression":
         return _by_expression(df, threshold, id_col, vec_col, within)
-    if method == "lsh":
-        return _by_lsh(df, threshold, id_col, vec_col, within)
     if method != "tiles":
-        raise ValueError("method must be tiles, expression or lsh")
+        raise ValueError("method must be tiles or expression")
     tiles, key = _tiles(df, id_col, vec_col, within, block)
     kind = tiles.schema["folder"].dataType.simpleString()
 
@@ -109,20 +113,3 @@ def _by_expression(df: DataFrame, threshold: float, id_col: str, vec_col: str, w
     sim = cosine(F.col("i_v"), F.col("j_v"))
     out = a.join(b, on).withColumn("sim", sim).where(F.col("sim") >= threshold)
     return out.select(*([F.col("i_w").alias(within)] if within else []), "i", "j", "sim")
-
-
-def _by_lsh(df: DataFrame, threshold: float, id_col: str, vec_col: str, within: str | None, tables: int = 5, bucket: float = 1.0) -> DataFrame:
-    """Approximate: random projections find candidates of unit vectors by their distance, sqrt(2 - 2 cos)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), *([within] if within else []), array_to_vector(normalize(F.col(vec_col))).alias("x"))
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(rows)
-    found = model.approxSimilarityJoin(rows, rows, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9, "distance")
-    found = found.where("datasetA.id < datasetB.id")
-    if within:
-        found = found.where(f"datasetA.`{within}` = datasetB.`{within}`")
-    out = found.select(*([F.col(f"datasetA.{within}")] if within else []), F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), (1 - F.col("distance") ** 2 / 2).alias("sim"))
-    return out.where(F.col("sim") >= threshold)
-
-

@@ -190,7 +190,7 @@ def q36(spark, d):
 
 
 def q37(spark, d):
-    out = K.cull_folders(_emb(spark, d), FOLDERS, score, "label")
+    out = K.cull_folders(_emb(spark, d), FOLDERS, score, "label").selected
     return out.select(F.col("folder").alias("label"), F.col("rank").cast("long"), "vec_id", F.col("target").cast("long"))
 
 

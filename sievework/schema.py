@@ -1,14 +1,12 @@
-"""Explicit schemas of the tables that runs exchange."""
+"""Explicit schemas of what is kept between runs."""
 
 from __future__ import annotations
 
-IMAGES = "path string, ord bigint, size bigint, modified timestamp"
-LOAD_ERRORS = "path string, error string"
-EMBEDDINGS = "path string, embedding array<float>"
 EMBEDDING_CACHE = "content_hash string, embedding array<float>, prefix string"
-PAIRS = "i bigint, j bigint, sim double"
-CLUSTERS = "cluster_id bigint, representative string, members array<string>"
-SCORES = "path string, score double"
-SCORED = "path string, aesthetic_score double, composition_score double, final_score double, cluster_id bigint, selected boolean, rank int"
-PLAN = "folder string, rel_path string, output_folder string, image_count bigint, target int"
-PHASES = "run_id string, phase string, complete boolean, updated_at timestamp"
+#: The state of a run as one JSON object; fixed values, so that files of either kind can be read.
+STATE = (
+    "source_dir string, output_dir string, started_at string, updated_at string, discovered_images array<string>, discovery_complete boolean, "
+    "embeddings_complete array<string>, embeddings_failed array<string>, embeddings_phase_complete boolean, unique_images array<string>, "
+    "duplicate_clusters array<struct<cluster_id: bigint, representative: string, members: array<string>>>, dedup_complete boolean, "
+    "aesthetic_scores map<string, double>, aesthetic_complete boolean, composition_scores map<string, double>, composition_complete boolean, selection_complete boolean"
+)

@@ -28,10 +28,57 @@ def supported(path, extensions: tuple[str, ...] = EXTENSIONS):
     return suffix(path).isin(*extensions)
 
 
-def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """path and ord of the supported images below a folder, in path order (letter case of suffixes does not matter)."""
-    listed = read_files(spark, folder).select("path").where(supported(F.col("path"), extensions))
-    return number_rows(listed, [parts(F.col("path"))], "ord")
+def local_path(path: str) -> str | None:
+    """The path in the file system of this machine, None for another store."""
+    scheme, _, rest = path.rpartition("://")
+    return "/" + rest.lstrip("/") if scheme == "file" else path if not scheme else None
+
+
+def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, hidden: bool = True) -> DataFrame:
+    """path and ord of the supported images below a folder, in path order (letter case of suffixes does not matter).
+
+    Folders and files whose names begin with a dot are listed, too, where the folder lies in a file system that all see (a path
+    without a scheme, or file:); another store is listed by Spark's file index, which leaves them out. `hidden=False` leaves them out everywhere.
+    """
+    own = local_path(folder)
+    if own is not None and hidden:
+        listed = list_files(spark, own).select("path")
+    else:
+        listed = read_files(spark, folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    return number_rows(listed.where(supported(F.col("path"), extensions)), [parts(F.col("path"))], "ord")
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """files (with `path`) and content and error: each file is read by the executors, one at a time, from the file system that all see.
+
+    A file that can't be read has no content and an error.
+    """
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in files.schema)}, content binary, error string"
+    names = [*files.columns, "content", "error"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                try:
+                    with open(local_path(row.path) or row.path, "rb") as f:
+                        content, error = f.read(), None
+                except OSError:
+                    content, error = None, FAILED
+                yield pd.DataFrame([[*row, content, error]], columns=names)
+
+    return files.mapInPandas(run, schema)
+
+
+def load_images(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, width, height, channels, data (rows of grey, BGR or BGRA bytes) and error of image files, decoded by Spark's image source.
+
+    It reads what the Java runtime decodes (JPEG, PNG, BMP, GIF); a file that isn't an image has an error and no data. The paths of a list
+    are a bounded choice, such as the best candidates.
+    """
+    rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(paths)
+    good = F.col("image.height") > 0
+    fields = [F.when(good, F.col(f"image.{k}")).alias(v) for k, v in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))]
+    return rows.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("path"), *fields, F.when(~good, F.lit(FAILED)).alias("error"))
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import exists, forget
 
-ORDER = ("discovered", "embedded", "unique", "scored", "composed", "selected")
+ORDER = ("discovered", "embedded", "rooted", "clusters", "scored", "composed", "final", "selected")
 
 
 class Phases:
-    def __init__(self, spark: SparkSession, folder: str, run_id: str):
-        self.spark, self.root = spark, f"{folder.rstrip('/')}/{run_id}"
+    def __init__(self, spark: SparkSession, folder: str, run_id: str, tell: Callable[[str, int], None] | None = None):
+        """`tell` gets the name and the rows of each phase when it is written."""
+        self.spark, self.root, self.tell = spark, f"{folder.rstrip('/')}/{run_id}", tell
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -31,9 +32,12 @@ class Phases:
         return self.spark.read.parquet(self.path(name))
 
     def phase(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The phase's table: read where it is complete, else built, written and read back."""
+        """The phase's table: read where it is complete, else built, written and read back. Nothing is built for a complete phase."""
         if not self.complete(name):
-            build().write.mode("overwrite").parquet(self.path(name))
+            seen = Observation(name)
+            build().observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(self.path(name))
+            if self.tell:
+                self.tell(name, seen.get["rows"])
         return self.table(name)
 
     def summary(self, names: tuple[str, ...] = ORDER) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder in spark.checkpoint.dir. Only where driver and executors are one process may the session name none; a local one is made then."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='sievework-')}"
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(forget, spark, named)
@@ -38,4 +41,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(forget, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables whose last reader has been written; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored", None)
+        if path:
+            forget(df.sparkSession, path)

@@ -1,5 +1,7 @@
 """Operators: golden cases, properties, and strategies against each other."""
 
+import csv
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,11 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievework.operators import clusters as C
-from sievework.operators import keyed, ranking
+from sievework.operators import components, keyed, ranking, similarity
 from sievework.operators.components import connected_components, local_roots
 from sievework.operators.folders import outcomes
 from sievework.operators.numbering import number_rows
-from sievework.operators.report import copy_ranked, report, write_report_file, write_report_folder
+from sievework.operators.report import COLUMNS, copy_ranked, report, write_folder_reports, write_report_file, write_report_folder
 from sievework.operators.similarity import similar_links, similar_pairs
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +48,9 @@ def test_components_equal_union_find(spark, links):
     assert local_roots(31, a, b).tolist() == want
 
 
-def test_components_of_long_chain_and_hub(spark):
+@pytest.mark.parametrize("hub_links", [4_000_000, 0])  # 0: minima are written first
+def test_components_of_long_chain_and_hub(spark, monkeypatch, hub_links):
+    monkeypatch.setattr(components, "HUB_LINKS", hub_links)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r.node: r.component for r in connected_components(frame(spark, links)).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 300))
@@ -80,10 +84,17 @@ def test_links_connect_what_pairs_connect(emb):
     assert a == sorted(connected_components(similar_links(emb, 0.35, block=100)).collect())
 
 
-def test_lsh_returns_true_pairs_only(emb):
-    exact, near = set(pairs_of(similar_pairs(emb, 0.4))), similar_pairs(emb, 0.4, method="lsh")
-    found = {(r.i, r.j) for r in near.collect()}
-    assert found <= {(i, j) for i, j, _ in exact} and len(found) >= 0.6 * len(exact)
+def test_a_hot_folder_does_not_multiply_the_rows_of_others(spark):
+    """One folder of 200 rows and 100 of three: blocks of 20 rows copy only the rows of the large one."""
+    rng = np.random.default_rng(6)
+    rows = [(i, 0 if i < 200 else i, rng.normal(size=4).tolist()) for i in range(200)] + [(200 + i, 1 + i // 3, rng.normal(size=4).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, folder long, embedding array<double>")
+    df = df.withColumn("folder", F.when(F.col("vec_id") < 200, F.lit(0)).otherwise(F.col("folder")))
+    tiles, _ = similarity._tiles(df, "vec_id", "embedding", "folder", 20)
+    copies = {r.folder: r.n for r in tiles.groupBy("folder").agg((F.count("*") / F.count_distinct("id")).alias("n")).collect()}
+    assert copies.pop(0) == 10 and set(copies.values()) == {1}
+    want = sorted(similar_pairs(df, 0.8, within="folder", method="expression").select("folder", "i", "j").collect())
+    assert want and sorted(similar_pairs(df, 0.8, within="folder", block=20).select("folder", "i", "j").collect()) == want
 
 
 def test_similarity_edge_cases(spark):
@@ -156,12 +167,27 @@ def test_report(spark, tmp_path):
     assert got[0] == ("1", 'a,"b".jpg', '/p/a,"b".jpg', "2.67", "", "9.00", "0", "yes")
     assert got[1] == ("", "b.jpg", "/p/b.jpg", "1.00", "", "8.00", "", "no")
     order = [F.col("final_score").desc()]
-    assert write_report_file(rows, str(tmp_path / "report.csv"), order) == 3
+    write_report_file(rows, str(tmp_path / "report.csv"), order)
+    with open(tmp_path / "report.csv", newline="") as f:
+        lines = list(csv.reader(f))
+    assert tuple(lines[0]) == COLUMNS and lines[1:] == [list(r) for r in got]
     write_report_folder(rows, f"file://{tmp_path}/report", order)
     parts = b"".join(p.read_bytes() for p in sorted((tmp_path / "report").glob("part-*")))
     assert parts.count(b"\r\n") >= 4 and set((tmp_path / "report.csv").read_bytes().split(b"\r\n")) == set(parts.split(b"\r\n"))
 
 
+def test_reports_of_folders(spark, tmp_path):
+    rows = [(f"/p/{k}/i{n}.jpg", float(n), None, float(n % 7), None, n < 2, n + 1 if n < 2 else None, f"/p/{k}", k, n) for k in ("a", "b/c", "") for n in range(40)]
+    df = spark.createDataFrame(rows, SCORED + ", folder string, place string, item long")
+    done = write_folder_reports(df.repartition(6), "folder", "place", str(tmp_path), [F.col("final_score").desc(), F.col("item")])
+    assert sorted((r.folder, r.error) for r in done.collect()) == [("/p/", None), ("/p/a", None), ("/p/b/c", None)]
+    for place in ("a", "b/c", ""):
+        with open(tmp_path / place / "report.csv", newline="") as f:
+            lines = list(csv.DictReader(f))
+        assert len(lines) == 40 and [float(x["final_score"]) for x in lines] == sorted((float(n % 7) for n in range(40)), reverse=True)
+    assert not [p for p in tmp_path.rglob("*.tmp")]
+
+
 def test_copies(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"x")
     named = spark.createDataFrame([(str(tmp_path / "a.jpg"), "1_a.jpg"), (str(tmp_path / "none.jpg"), "2_none.jpg")], "path string, output_name string")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sievework.plans import catalogue
+from sievework.plans import catalogue, operations
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -28,10 +28,13 @@ def rows(df: pd.DataFrame, columns: list[str]) -> list[tuple]:
     return sorted(tuple(map(plain, r)) for r in df[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+QUERIES, SQL = catalogue.queries() | operations.queries(), catalogue.oracle_sql() | operations.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    got = catalogue.queries()[name](spark, SF)
-    want = duck.sql(catalogue.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     assert {c: TYPES[t] for c, t in got.dtypes} == dict(zip(want.columns, map(str, want.types)))
     columns = sorted(got.columns)
     a, b = rows(got.toPandas(), columns), rows(want.df(), columns)
@@ -39,7 +42,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_has_rows(spark):

@@ -1,7 +1,5 @@
 """Sources, cache, phases, inference, streaming, whole culls and the command line."""
 
-import csv
-import json
 import os
 import sys
 
@@ -9,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from sievework import cli, infer
+from sievework import infer
 from sievework.config import CullConfig
 from sievework.plans import catalogue
 from sievework.plans import cull as K
@@ -38,7 +36,8 @@ def embedder():
 
 def test_discovery_and_folders(spark, photos):
     found = images.discover(spark, f"file://{photos}").orderBy("ord").collect()
-    assert [r.path.rpartition("/photos/")[2] for r in found] == ["a.jpg", "b.JPG", "trip/d.png", "trip/e.Jpg"] and [r.ord for r in found] == [0, 1, 2, 3]
+    assert [r.path for r in found] == [str(photos / x) for x in (".hidden/f.jpg", "a.jpg", "b.JPG", "trip/d.png", "trip/e.Jpg")] and [r.ord for r in found] == [0, 1, 2, 3, 4]
+    assert images.discover(spark, str(photos), hidden=False).count() == 4 and images.discover(spark, str(photos), (".txt",)).count() == 2
     assert images.list_files(spark, str(photos)).count() == 7
     folders = images.image_folders(images.list_files(spark, str(photos)), str(photos)).orderBy("ord").collect()
     assert [(r.rel_path, r.n) for r in folders] == [("(root)", 2), ("trip", 2)]
@@ -66,7 +65,7 @@ def test_cache_and_embedding(spark, photos, tmp_path):
     hashed = files.withColumn("content_hash", images.content_hash(F.col("content")))
     cache = f"file://{tmp_path}/cache"
     assert read_cache(spark, cache).count() == 0
-    assert infer.embed_with_cache(hashed, embedder, cache).count() == 4
+    assert infer.embed_with_cache(hashed, embedder, cache).where("error IS NULL").count() == 4
     assert read_cache(spark, cache).count() == 3  # two files are equal
 
     def fail():
@@ -91,6 +90,18 @@ def test_batches_shrink_when_memory_runs_out():
         infer.in_batches(lambda b: (_ for _ in ()).throw(MemoryError), [b""], 4)
 
 
+def test_broken_images_are_rows(spark):
+    def model(batch):
+        if b"broken" in batch:
+            raise ValueError("not an image")
+        return [[float(len(b)), 0.0] for b in batch]
+
+    assert infer.in_batches(model, [b"a", b"broken", b"bb", b"broken"], 3) == [[1.0, 0.0], None, [2.0, 0.0], None]
+    rows = spark.createDataFrame([("1", bytearray(b"a")), ("2", bytearray(b"broken"))], "content_hash string, content binary")
+    got = {r.content_hash: (r.embedding, r.error) for r in infer.embed(rows, lambda: model).collect()}
+    assert got == {"1": ([1.0, 0.0], None), "2": (None, infer.EMBED_FAILED)}
+
+
 def test_analysis(spark):
     rows = spark.createDataFrame([("a", b"good"), ("b", b"bad"), ("c", None)], "path string, content binary")
 
@@ -105,7 +116,9 @@ def test_analysis(spark):
     assert {r.path: r.score for r in infer.analyze(rows, make, delay=0).collect()} == {"a": 8, "b": 5, "c": 5}
     assert {r.score for r in infer.analyze(rows, None).collect()} == {5}
     assert not infer.server_has_model("http://127.0.0.1:1", "model:7b", timeout=0.2)
-    assert infer.encoded_size(4000, 3000) == (1024, 768) and infer.encoded_size(800, 600) == (800, 600)
+    assert infer.base_name("model:7b") == "model" and infer.preview("x" * 300) == "x" * 100 and infer.preview(None) == ""
+    spread = spark.range(800).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(None).cast("binary").alias("content"))
+    assert infer.analyze(spread, make, concurrency=4).rdd.getNumPartitions() == 4
 
 
 def test_phases_resume_and_are_keyed(spark, tmp_path):
@@ -165,33 +178,3 @@ def test_empty_input(spark):
     items = spark.read.parquet(f"{SF}/embeddings.parquet").where("false")
     result = K.cull(items, CullConfig(), catalogue.score)
     assert result.selected.count() == result.scored.count() == 0
-
-
-def table_of(spark, photos, tmp_path):
-    rows = [(str(photos / n), v) for n, v in {"a.jpg": [1.0, 0.0], "b.JPG": [1.0, 0.01], "trip/d.png": [0.0, 1.0], "trip/e.Jpg": [-1.0, 0.2]}.items()]
-    path = f"file://{tmp_path}/table"
-    spark.createDataFrame(rows, "path string, embedding array<double>").write.parquet(path)
-    weights = tmp_path / "weights.json"
-    weights.write_text(json.dumps({"weights": [2.0, 3.0], "bias": 3.0}))
-    return ["--embeddings", path, "--weights", str(weights)]
-
-
-def test_command_line(spark, photos, tmp_path, monkeypatch):
-    options = table_of(spark, photos, tmp_path)
-    out = tmp_path / "best"
-    assert cli.main(["cull", str(photos), str(out), *options, "--target", "2"]) == 0
-    assert sorted(p.name for p in out.iterdir()) == ["1_d.png", "2_a.jpg", "report.csv"]
-    with open(out / "report.csv", newline="") as f:
-        rows = list(csv.DictReader(f))
-    assert [r["filename"] for r in rows] == ["d.png", "a.jpg", "e.Jpg"] and rows[0]["selected"] == "yes" and rows[1]["cluster_id"] == "0"
-    out = tmp_path / "folders"
-    assert cli.main(["batch", str(photos), str(out), *options, "--min", "1", "--ratio", "0.5"]) == 0
-    assert sorted(str(p.relative_to(out)) for p in out.rglob("*.*") if p.is_file()) == ["1_a.jpg", "trip/1_d.png"]
-    assert cli.main(["batch", str(photos), str(out), *options, "--dry-run"]) == 0
-    with pytest.raises(ValueError):  # both folders would write 1_*.jpg only if the names were equal
-        (photos / "trip" / "a.jpg").write_bytes(b"7")
-        rows = [(str(photos / "a.jpg"), [1.0, 0.0]), (str(photos / "trip" / "a.jpg"), [0.0, 1.0])]
-        spark.createDataFrame(rows, "path string, embedding array<double>").write.parquet(f"file://{tmp_path}/same")
-        cli.main(["batch", str(photos), str(out), "--embeddings", f"file://{tmp_path}/same", "--flat", "--min", "1"])
-    assert cli.main(["cull", str(tmp_path / "nowhere"), str(out), *options]) == 1
-    assert cli.main(["cull", str(photos), str(out), *options, "--target", "0"]) == 1
