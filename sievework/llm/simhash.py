@@ -6,12 +6,16 @@ half the radius (2,081 for r = 2), variants are shuffled, and fingerprints that
 meet on a variant are verified and linked.
 
 What is shuffled is the fingerprint, once for each partition that some of its
-variants belong to: a variant's partition is a linear hash over GF(2), so that
-`part(f xor m) = part(f) xor part(m)` and a partition can list for itself the
-variants that fall into it. This gives the same meetings as shuffling 2,081 rows
-a fingerprint and moves at most the same number of rows, far fewer while there
-are fewer partitions than variants. Within a partition variants are
-listed and sorted in slices of bounded size, by more bits of the same hash.
+variants belong to. A variant's partition is made of parities: the 64 bits are
+dealt over k blocks, and bit i of the partition is the parity of block i. That is
+linear, `part(f xor m) = part(f) xor part(m)`, and a mask of two bits changes two
+parities at most, so the 2,081 variants of a fingerprint lie in 1 + k + k(k-1)/2 of
+the 2^k partitions, and a partition lists for itself those that fall into it. The meetings are
+those of shuffling 2,081 rows a fingerprint. k grows by one when the fingerprints double, so the copies
+of a fingerprint grow with the square of the logarithm: 29 at 128 partitions, 79 at
+4,096, 211 at a million. A flipped bit always changes a parity, so a large group
+of near copies is dealt over many partitions. Within a partition variants are listed
+and sorted in slices of bounded size, by parities of other blocks.
 
 Fingerprints that share a variant are all within the radius of each other, so
 links between neighbours in the sorted list connect them all: no group of near
@@ -28,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, local_roots
+from ..sources.shared import release
 from .common import map_arrow, written
 
 BITS = 64
 SEED = 42
 WORDS = 4
 RADIUS = 4
-#: Partitions of the variants at least, and the fingerprints that one partition takes at most.
-LEAST_PARTS, PART_FINGERPRINTS = 128, 8_000_000
-#: Variants that are listed and sorted at once in a partition.
-SLICE_VARIANTS = 2_000_000
+#: Parities of a variant's partition at least, and the variants that one partition takes on average at most.
+LEAST_BITS, PART_VARIANTS = 7, 1 << 26
+#: Variants that are listed and sorted at once in a partition, and copies of fingerprints that are dealt out at once.
+SLICE_VARIANTS, SLICE_COPIES = 2_000_000, 1_000_000
 
 
 def fingerprint(data: bytes, words: int = WORDS) -> bytes:
@@ -67,7 +72,11 @@ def fingerprint(data: bytes, words: int = WORDS) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """`doc` and `fp` (the fingerprint as a signed long) of every row; null text counts as empty."""
+    """`doc` and `fp` (the fingerprint as a signed long) of every row.
+
+    Null and empty texts and those without words have zero. Ids are only carried, null and repeated ones, too. A very long
+    text is hashed whole, 4,096 shingles at a time. An empty table gives an empty result. Other columns are not read, whatever their names.
+    """
 
     def make():
         def each(batch):
@@ -89,41 +98,40 @@ def ball(radius: int) -> np.ndarray:
     return np.concatenate(layers)
 
 
-def linear_hash(values: np.ndarray, bits: int) -> np.ndarray:
-    """The low `bits` bits of a fixed linear map over GF(2)."""
-    columns = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**32, BITS, dtype=np.uint64)
-    out = np.zeros(len(values), np.uint64)
-    for i in range(BITS):
-        out ^= np.where((values >> np.uint64(i)) & np.uint64(1), columns[i], np.uint64(0))
-    return (out & np.uint64((1 << bits) - 1)).astype(np.int64)
+def parities(values: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
+    """`bits` parities of each value: a linear hash over GF(2). The 64 bits are dealt over as many blocks in an order that the salt draws."""
+    order = np.random.Generator(np.random.PCG64([SEED, salt])).permutation(BITS)
+    out = np.zeros(len(values), np.int64)
+    for i in range(bits):
+        block = np.bitwise_or.reduce(np.uint64(1) << order[i::bits].astype(np.uint64))
+        out |= (np.bitwise_count(values & block) & 1).astype(np.int64) << i
+    return out
 
 
-def _by_class(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that groups values by their hash, and where each hash begins."""
-    hashed = linear_hash(values, bits)
+def _by_class(values: np.ndarray, hashed: np.ndarray) -> dict[int, np.ndarray]:
+    """The values of each hash."""
     order = np.argsort(hashed, kind="stable")
-    return order, np.searchsorted(hashed[order], np.arange((1 << bits) + 1))
+    begins = np.flatnonzero(np.diff(hashed[order], prepend=-1))
+    return dict(zip(hashed[order][begins].tolist(), np.split(values[order], begins[1:])))
 
 
 def meet(fps: np.ndarray, part: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints that meet on a variant of this partition: each with the first of its group."""
     fps = np.unique(fps)
     masks = ball(radius // 2)
-    total = max(1, len(fps) * len(masks) >> bits)
+    here = _by_class(np.arange(len(fps)), parities(fps, bits) ^ part)
+    there = _by_class(masks, parities(masks, bits))
+    total = sum(len(own) * len(there.get(c, ())) for c, own in here.items())
     more = max(0, (total - 1) // SLICE_VARIANTS).bit_length()
-    order, begins = _by_class(fps, bits + more)
-    masks_order, masks_begin = _by_class(masks, bits + more)
-    fps, masks = fps[order], masks[masks_order]
+    cells = [(_by_class(own, parities(fps[own], more, 1)), _by_class(there[c], parities(there[c], more, 1))) for c, own in here.items() if c in there]
     left, right = [], []
     for piece in range(1 << more):
         variants, owners = [], []
-        for c in range(1 << (bits + more)):
-            lo, hi = begins[c], begins[c + 1]
-            at = c ^ (part | piece << bits)
-            m = masks[masks_begin[at] : masks_begin[at + 1]]
-            if hi > lo and len(m):
-                variants.append((fps[lo:hi, None] ^ m[None, :]).ravel())
-                owners.append(np.repeat(np.arange(lo, hi), len(m)))
+        for own, flips in cells:
+            for c, m in flips.items():
+                if (some := own.get(c ^ piece)) is not None:
+                    variants.append((fps[some][:, None] ^ m[None, :]).ravel())
+                    owners.append(np.repeat(some, len(m)))
         if not variants:
             continue
         variants, owners = np.concatenate(variants), np.concatenate(owners)
@@ -141,6 +149,25 @@ def meet(fps: np.ndarray, part: int, bits: int, radius: int) -> tuple[np.ndarray
     return fps[linked], fps[root[linked]]
 
 
+def part_bits(n: int, radius: int = RADIUS) -> int:
+    """The parities that n fingerprints take, so that a partition has `PART_VARIANTS` variants or fewer on average."""
+    over = -(-n * len(ball(radius // 2)) // PART_VARIANTS)
+    return max(LEAST_BITS, (over - 1).bit_length() if over > 1 else 0)
+
+
+def dealt(fps: np.ndarray, bits: int, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The partitions that fingerprints go to, in slices: parts, where each one's fingerprints begin, the fingerprints."""
+    parts = np.unique(parities(ball(radius // 2), bits))
+    step = max(1, SLICE_COPIES // len(parts))
+    for at in range(0, len(fps), step):
+        some = fps[at : at + step]
+        to = (parities(some, bits)[:, None] ^ parts[None, :]).ravel()
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        begins = np.flatnonzero(np.diff(to, prepend=-1))
+        yield to[begins], begins, some[order // len(parts)]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (`a`, `b`) that connect the fingerprints (column `fp`, distinct) at `radius` or fewer differing bits.
 
@@ -148,48 +175,24 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius % 2 or radius > 6:
         raise ValueError("the radius must be even and at most 6")
-    n = distinct.count()
-    parts = LEAST_PARTS
-    masks = len(ball(radius // 2))
-    while n * min(1.0, masks / parts) > PART_FINGERPRINTS:
-        parts *= 2
-    bits = parts.bit_length() - 1
-
-    def make():
-        mask_parts = np.unique(linear_hash(ball(radius // 2), bits))
-
-        def each(batch):
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            order, begins = _by_class(fps, bits)
-            fps, out = fps[order], {}
-            for c in range(1 << bits):
-                if begins[c + 1] > begins[c]:
-                    some = fps[begins[c] : begins[c + 1]].tobytes()
-                    for m in mask_parts.tolist():
-                        out.setdefault(c ^ m, []).append(some)
-            return {"part": list(out), "fps": [b"".join(x) for x in out.values()]}
+    bits = part_bits(distinct.count(), radius)
 
-        return each
-
-    def run(batches: Iterator):
+    def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        each, rows = make(), []
         for batch in batches:
-            rows.append(batch)
-            if sum(x.num_rows for x in rows) >= 65_536:
-                made, rows = each(pa.Table.from_batches(rows).combine_chunks().to_batches()[0]), []
-                yield pa.RecordBatch.from_arrays([pa.array(made["part"], pa.int32()), pa.array(made["fps"], pa.binary())], ["part", "fps"])
-        if rows:
-            made = each(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
-            yield pa.RecordBatch.from_arrays([pa.array(made["part"], pa.int32()), pa.array(made["fps"], pa.binary())], ["part", "fps"])
+            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for parts, begins, copies in dealt(fps, bits, radius):
+                offsets = np.append(begins, len(copies)).astype(np.int32) * np.int32(8)
+                held = pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(copies.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), held], ["part", "fps"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = np.frombuffer(b"".join(pdf["fps"]), np.uint64)
         a, b = meet(fps, int(pdf["part"].iloc[0]), bits, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    emitted = distinct.select("fp").mapInArrow(run, "part int, fps binary")
+    emitted = distinct.select("fp").mapInArrow(deal, "part long, fps binary")
     return emitted.groupBy("part").applyInPandas(join, "a long, b long").distinct()
 
 
@@ -199,15 +202,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal fingerprints link, so exact copies, repeated rows and all texts
     without words fall together. Null text counts as empty; a row with a null id
     takes part and gets the smallest id of its component, null if there is none.
-    An empty table gives an empty result. Other columns are not read.
+    Rows that share an id are rows of their own. Very long texts are fingerprinted whole. An empty table gives an empty result. Other
+    columns are not read.
     """
     found = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     least = written(found.groupBy("fp").agg(F.min("doc").alias("least")), "distinct-fingerprints")
     classes = connected_components(links(least, radius), write=written)
-    rooted = least.join(classes, least.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    rooted = written(rooted, "rooted-fingerprints")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(lowest, "root").select("fp", "component_id"), "named-fingerprints")
+    members = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct())
+    linked = written(members.join(least, members.node == least.fp).select("fp", "component", "least"), "linked-fingerprints")
+    # written, so that the joins below read tables: rows of a hot component or fingerprint are 16 bytes, and skewed partitions can be split
+    lowest = written(linked.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    ids = linked.join(lowest, "component").select("fp", "component_id")
+    named = written(least.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named-fingerprints")
+    release(least, linked, lowest)
     return found.join(named, "fp").select("doc", "fp", "component_id")
 
 
@@ -222,7 +229,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     `groups` gives `doc` and `component_id` of every row, by linked fingerprints if not told otherwise.
     Rows are told apart by a number that is stored with them, so of rows that
     repeat an id exactly one stays; a row with a null id stays only where its component has no
-    other. All texts without words (null ones, too) are one component. An empty table stays empty.
+    other. All texts without words (null ones, too) are one component. Very long texts count whole. Columns come back in their order, whatever
+    their names. An empty table stays empty.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = written(docs.select(F.monotonically_increasing_id().alias("n"), row.alias("row")), "numbered-documents")
