@@ -1,10 +1,12 @@
 """Labelled findings for the secret classifier, made by rule from a seed.
 
-A finding is what a scanner's pattern would report: the matched string, up to
-48 characters before it and up to 24 after it, and the label a reviewer would
-give. All of them are invented here. Secrets are random strings in the forms
-that services hand out; the rest are what such patterns report in error:
-checksums, commit numbers, identifiers, paths, long words, placeholders.
+A finding is what the scanner's pattern reports: the matched string, up to
+48 characters before it and up to 24 after it (earlier and later candidates
+included), and the label a reviewer would give. All of them are invented here.
+Secrets are random strings in the forms that services hand out, passwords after
+their name, and private key blocks; the rest are what such patterns report in error:
+checksums, commit numbers, identifiers, paths, long words, placeholders, the names of
+variables, and code or prose after a secret word.
 """
 
 from __future__ import annotations
@@ -28,8 +30,13 @@ WORD_PARTS = (
     "ear ead ood ook ore ound ight ough ation ition ology graph phone meter"
 ).split()
 _FILLER = "we then saw that it was here and set up by hand for all of them on the new host before use in our next run".split()
-_NAMES = "api_key apiKey API_KEY secret client_secret token access_token auth_token password passwd db_password private_key secretKey AWS_SECRET_ACCESS_KEY bearer credential signing_key webhook_secret".split()
+_NAMES = "api_key apiKey API_KEY secret client_secret token access_token auth_token password passwd db_password private_key secretKey bearer credential signing_key webhook_secret".split()
+_OWNERS = "aws github db app prod user client session service stripe slack mail admin registration redis storage cloud build".split()
+_SORTS = "token secret password access_token api_key secret_key secret_access_key signing_secret webhook_secret auth_token refresh_token private_key pass passwd".split()
+_STAGES = ("", "", "", "", "_production", "_staging", "_dev", "_main", "_old", "_2")
+_PASSWORD_NAMES = "password passwd pass pwd pw db_password DB_PASS DB_PASSWORD passphrase root_password secret token userPassword".split()
 _PLAIN_NAMES = "sha256 checksum md5 digest commit revision etag integrity uuid id request_id build path file class module name label slug image".split()
+_PLAIN_OWNERS = "file expected archive layer content previous source current package object base head".split()
 _HEX, _ALNUM = "0123456789abcdef", string.ascii_letters + string.digits
 _BASE64 = _ALNUM + "+/"
 
@@ -45,6 +52,54 @@ def _words(rng: random.Random, least: int, join: str = "") -> str:
     return out
 
 
+def _name(rng: random.Random) -> str:
+    """A variable that holds a secret."""
+    if rng.random() < 0.4:
+        return rng.choice(_NAMES)
+    made = f"{rng.choice(_OWNERS)}_{rng.choice(_SORTS)}{rng.choice(_STAGES)}"
+    way = rng.random()
+    return made.upper() if way < 0.5 else made if way < 0.8 else made.replace("_", "-")
+
+
+def _plain_name(rng: random.Random, names: list[str]) -> str:
+    made = rng.choice(names)
+    if rng.random() < 0.4:
+        made = f"{rng.choice(_PLAIN_OWNERS)}_{made}"
+    return made.upper() if rng.random() < 0.2 else made
+
+
+def _password(rng: random.Random) -> str:
+    """A password of mixed signs."""
+    way = rng.random()
+    if way < 0.4:
+        return _some(rng, _ALNUM + "!@#$%^&*-_+?.", rng.randrange(8, 21))
+    if way < 0.6:
+        return _some(rng, _ALNUM, rng.randrange(8, 16))
+    word = _words(rng, rng.randrange(4, 9))
+    if way < 0.8:
+        word = "".join({"a": "4", "e": "3", "o": "0", "i": "1", "s": "5"}.get(c, c) if rng.random() < 0.6 else c for c in word)
+    return (word.capitalize() if rng.random() < 0.6 else word) + _some(rng, "!@#$%&*-_?", rng.randrange(0, 2)) + _some(rng, string.digits + rng.choice(("", string.ascii_letters)), rng.randrange(2, 6)) + _some(rng, "!@#$%&*?", rng.randrange(0, 2))
+
+
+def _lines(rng: random.Random, n: int) -> str:
+    """Base64 in lines, as key files have it."""
+    body = _some(rng, _BASE64, n)
+    return rng.choice(("\n", "\n", "\\n")).join(body[i : i + 64] for i in range(0, n, 64))
+
+
+def _key_block(rng: random.Random, secret: bool) -> tuple[str, str, str, int]:
+    """A private key block, or the frame of one around something else."""
+    kind = rng.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", "DSA "))
+    head, tail = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+    if secret:
+        extra = f"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{_some(rng, '0123456789ABCDEF', 32)}\n" if rng.random() < 0.2 else ""
+        text = f"{head}{extra}\n{_lines(rng, rng.randrange(100, 1700))}{rng.choice(('', '=', '=='))}\n{tail if rng.random() < 0.9 else ''}"
+    else:
+        text = head + rng.choice(("", "\n", " is the first line of the file", "\n...\n" + tail, "\nyour key here\n" + tail, "\n" + "x" * rng.randrange(3, 80) + "\n" + tail, "\n" + _words(rng, 60, " ")))
+    lead = rng.choice(("", "\n", 'key: "', "the file id_rsa holds ", "private_key = '", "cat <<EOF\n"))
+    return text, lead[-BEFORE:], rng.choice(("\n", "", '"', " and so on"))[:AFTER], int(secret)
+
+
 def _secret(rng: random.Random) -> str:
     kind = rng.randrange(9)
     if kind == 0:
@@ -87,36 +142,82 @@ def _other(rng: random.Random) -> tuple[str, str]:
     return _some(rng, string.digits, rng.randrange(16, 24)), "number"
 
 
+def _assign(rng: random.Random) -> tuple[str, str]:
+    """What stands between a name and its value, and what ends the value."""
+    made = rng.choice((' = "', '="', ": ", " = ", ": '", "='", '": "', "=", "=", ' => "', ": "))
+    return made, made[-1] if made[-1] in "\"'" else rng.choice((" ", "\n", "\n", "", ";", "&"))
+
+
+def _lead(rng: random.Random) -> str:
+    words = " ".join(rng.choice(_FILLER if rng.random() < 0.5 else WORD_PARTS) for _ in range(rng.randrange(0, 8)))
+    return words + rng.choice((" ", " ", "\n", "\nexport ", " const ", '{"', "; ", "?"))
+
+
 def _finding(rng: random.Random, secret: bool) -> tuple[str, str, str, int]:
-    lead = " ".join(rng.choice(_FILLER if rng.random() < 0.5 else WORD_PARTS) for _ in range(rng.randrange(0, 8)))
-    tail = " ".join(rng.choice(_FILLER) for _ in range(4))
-    assign = rng.choice((' = "', '="', ": ", " = ", ": '", "='", '": "'))
-    close = assign[-1] if assign[-1] in "\"'" else rng.choice((" ", "\n", ""))
+    way = rng.random()
+    if way < 0.05:
+        return _key_block(rng, secret)
+    if way < 0.3:
+        return _short(rng, secret)
+    lead, tail = _lead(rng), " ".join(rng.choice(_FILLER) for _ in range(4))
+    assign, close = _assign(rng)
     if secret:
         text = _secret(rng)
         way = rng.random()
         if way < 0.85:
-            before = f"{lead} {rng.choice(_NAMES)}{assign}"
+            before = f"{lead}{_name(rng)}{assign}"
         elif way < 0.95:
-            before, close = f"{lead} Authorization: Bearer ", "\n"
+            before, close = f"{lead}Authorization: Bearer ", "\n"
         else:
-            before, close = f"{lead} {rng.choice(('use the key', 'the token is', 'my password:'))} ", " "
+            before, close = f"{lead}{rng.choice(('use the key', 'the token is', 'my password:'))} ", " "
         return text, before[-BEFORE:], f"{close}{tail}"[:AFTER], 1
+    if way < 0.38:  # the name of a variable, before its value
+        name = _name(rng) if rng.random() < 0.7 else _plain_name(rng, _PLAIN_NAMES)
+        while len(name) < 16:
+            name = f"{rng.choice(_OWNERS)}_{name}" if "-" not in name else f"{rng.choice(_OWNERS)}-{name}"
+        value = rng.choice((_secret(rng), _password(rng), _some(rng, _HEX, 40)))
+        if assign == "=":
+            name, assign = name + "=", ""
+        return name, lead[-BEFORE:], f"{assign}{value}"[:AFTER], 0
     text, kind = _other(rng)
     way = rng.random()
     if kind in ("sum", "id"):
-        before = f"{lead} {rng.choice(_PLAIN_NAMES[:12])}{assign}" if way < 0.8 else f"{lead} {rng.choice(('commit ', 'sha256:', 'at revision ', 'urn:uuid:', '/blob/', '/tree/'))}"
+        before = f"{lead}{_plain_name(rng, _PLAIN_NAMES[:12])}{assign}" if way < 0.8 else f"{lead}{rng.choice(('commit ', 'sha256:', 'at revision ', 'urn:uuid:', '/blob/', '/tree/'))}"
     elif kind == "path" and way < 0.6:
-        before, close = f"{lead} {rng.choice(('https://www.host.example/', '/usr/share/', './src/', 'import ', 'href=' + chr(34) + '/'))}", rng.choice((".html", ".py", ".js", "/index", '"', " "))
+        before, close = f"{lead}{rng.choice(('https://www.host.example/', '/usr/share/', './src/', 'import ', 'href=' + chr(34) + '/'))}", rng.choice((".html", ".py", ".js", "/index", '"', " "))
     elif way < 0.35:
-        before = f"{lead} {rng.choice(_NAMES)}{assign}" if kind in ("blank", "word", "name", "path") else f"{lead} {rng.choice(_PLAIN_NAMES)}{assign}"
+        before = f"{lead}{_name(rng)}{assign}" if kind in ("blank", "word", "name", "path") else f"{lead}{_plain_name(rng, _PLAIN_NAMES)}{assign}"
     elif way < 0.5:
-        before = f"{lead} {rng.choice(_PLAIN_NAMES)}{assign}"
+        before = f"{lead}{_plain_name(rng, _PLAIN_NAMES)}{assign}"
     else:
-        before, close = f"{lead} ", rng.choice((" ", ", ", ". ", "\n"))
+        before, close = lead, rng.choice((" ", ", ", ". ", "\n"))
     return text, before[-BEFORE:], f"{close}{tail}"[:AFTER], 0
 
 
+def _short(rng: random.Random, secret: bool) -> tuple[str, str, str, int]:
+    """A value after the name of a password or token: a password, or code, a placeholder or a word."""
+    lead, tail = _lead(rng), " ".join(rng.choice(_FILLER) for _ in range(4))
+    assign, close = _assign(rng)
+    name = rng.choice(_PASSWORD_NAMES) if rng.random() < 0.6 else _name(rng)
+    if secret:
+        text = _password(rng)
+    else:
+        w, v = (_words(rng, rng.randrange(4, 12)) for _ in range(2))
+        kind = rng.randrange(10)
+        text = (
+            w + rng.choice("aeiou") * 2, f"{w}.{v}", f"get{v.capitalize()}()", f"self.{w}", f"os.environ[{w.upper()}]", "${" + w.upper() + "_PASSWORD}", "{{" + f"{w}_{v}" + "}}",
+            rng.choice(("required", "string", "undefined", "optional", "changeme", "password", "example", "xxxxxxxx", "********", "your-token-here", "str(token)", "Optional[str]", "request.headers", "http://localhost")),
+            f"{w}_{v}", "".join(x.capitalize() for x in (w, v)),
+        )[kind]
+        if len(text) < 6:
+            text += "ness()"[: 6 - len(text)] if kind else "ness"
+    whole = text
+    text = text.rstrip(",;.)]}")  # the pattern leaves these to the text around it
+    if len(text) < 6:
+        text, whole = text + "words"[: 6 - len(text)], ""
+    return text, f"{lead}{name}{assign}"[-BEFORE:], f"{whole[len(text) :]}{close}{tail}"[:AFTER], int(secret)
+
+
 def labelled_findings(n: int = 6_000, seed: int = 11) -> list[tuple[str, str, str, int]]:
     """`n` findings (match, before, after, label), as many secrets as others."""
     rng = random.Random(seed)

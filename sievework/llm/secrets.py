@@ -1,8 +1,10 @@
 """Secret scan: patterns find candidates, a random forest removes false positives. DataFrame operations only.
 
-One pattern cuts a text into stretches and candidates; every candidate gets
+One pattern cuts a text into stretches and candidates: private key blocks, values
+after the name of a password or key, and long runs of key signs. Every candidate gets
 features of its length, its character transitions, the share that word parts
-cover, path signs around it and the words next to it. The forest is fitted on a
+cover, path signs around it and the words next to it (48 characters before and 24 after, other
+candidates included, so the name of a variable counts however long it is). The forest is fitted on a
 bounded, documented sample of labelled findings and evaluated as a SQL
 expression inside the row, so a scan reads each text where it lies: no
 shuffle, no Python on executors, and memory bounded by a row.
@@ -25,14 +27,27 @@ MARK = "[SECRET]"
 #: Cuts whose sizes are added up in one piece.
 CHUNK = 256
 _SIGN = "[A-Za-z0-9+/_-]"
-#: A private key block, or a run of 16 or more signs of keys and encodings.
-CANDIDATE = f"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----[A-Za-z0-9+/=\\s]*+(?:-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?|(?<!{_SIGN}){_SIGN}{{16,}}+={{0,2}}"
-_CUT = f"(?s)(.*?)({CANDIDATE}|\\z)"
-_SECRET_WORDS = "(?i)(key|token|secret|passw|pwd|auth|bearer|credential|signing)"
+_BLOCK_START, _BLOCK_END = (f"-----{x} [A-Z ]{{0,40}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+#: A private key block to its END line, whatever lies between (at most 64 single dashes, which stand in headers);
+_BLOCK = f"{_BLOCK_START}[^-]*+(?:-(?!----)[^-]*+){{0,64}}+{_BLOCK_END}|{_BLOCK_START}[A-Za-z0-9+/=\\s]*+"
+#: a value of six signs or more after the name of a password or key, whatever its signs up to a space or quote;
+_NAME = "(?=[pPsStTaA])(?i:passw(?:or)?d|passphrase|pass|pwd|pw|secret|token|api[_-]?key)[A-Za-z0-9_-]{0,12}"
+_ASSIGN = "[\"']?[ ]{0,2}(?:=>|[:=])[ ]{0,2}[\"']?"
+_VALUE = "[^\\s\"'<>]{5,}[^\\s\"'<>,;.)\\]}]"
+#: or a run of 16 or more signs of keys and encodings.
+_RUN = f"(?<!{_SIGN}){_SIGN}{{16,}}+={{0,2}}"
+CANDIDATE = f"{_BLOCK}|{_NAME}{_ASSIGN}{_VALUE}|{_RUN}"
+#: A gap, which ends behind a name or before another candidate, and what follows. The name may also be the candidate before; names
+#: are looked for forwards, and backwards only where a cut begins or a value does.
+_GAP = f"(?:(?<={_NAME}){_ASSIGN}|(?<={_NAME}=)[ ]{{0,2}}[\"']?)(?={_VALUE})|.*?(?:{_NAME}{_ASSIGN}(?={_VALUE})|(?={_BLOCK}|{_RUN}|\\z))"
+_CUT = f"(?s)({_GAP})({_BLOCK}|(?<={_NAME}{_ASSIGN}){_VALUE}|{_RUN}|\\z)"
+_SECRET_WORDS = "(?i)(key|token|secret|pass|pwd|\\bpw|auth|bearer|credential|signing)"
 _PLAIN_WORDS = "(?i)(sha-?(1|256|512)|md5|checksum|digest|hash|commit|revision|etag|integrity|uuid|guid|build|blob|tree|example|\\bid\\b)"
 _PREFIXES = "^(AKIA|ASIA|gh[opsu]_|glpat-|npm_|[sr]k_live_|sk-|pk-|xox[bpa]-|AIza|eyJ|-----BEGIN)"
 _PLACEHOLDER = "(?i)(example|your|change_?me|insert|replace|sample|dummy|(.)\\2{7,})"
 
+_CALL = "^[$]?[{(\\[]|^[A-Za-z_.]+[(\\[]|^[A-Za-z_]+[.][A-Za-z_.]+$"
+
 
 def features(match: Column, before: Column, after: Column) -> list[tuple[str, Column]]:
     """Name and value of each feature of a finding, all double."""
@@ -67,12 +82,17 @@ def features(match: Column, before: Column, after: Column) -> list[tuple[str, Co
         ("placeholder", yes(match.rlike(_PLACEHOLDER))),
         ("slashes", 1 - left("/", match)),
         ("joins", 1 - left("[-_]", match)),
+        ("others", 1 - left("[^A-Za-z0-9+/_=-]", match)),
+        ("code", 1 - left("[(){}\\[\\].$]", match)),
+        ("call", yes(match.rlike(_CALL))),
+        ("block", yes(match.rlike("^-----BEGIN"))),
+        ("assigned_after", yes(after.rlike("^[\"']?[ ]{0,2}[:=]") | match.rlike("^[A-Za-z][A-Za-z0-9_-]*=$"))),
         ("path_before", yes(before.rlike("(://|\\./|/)[^\\s]*$"))),
         ("path_after", yes(after.rlike("^(/|\\.[a-z]{2,4}\\b)"))),
         ("secret_word", yes(before.rlike(_SECRET_WORDS))),
-        ("secret_word_near", yes(before.rlike(_SECRET_WORDS + "[A-Za-z_]*[\"']?( is)?[ :=]*[\"']?$"))),
-        ("plain_word", yes(before.rlike(_PLAIN_WORDS + "[A-Za-z_]*[\"']?[ :=/]*[\"']?$"))),
-        ("assigned", yes(before.rlike("[=:][ ]?[\"']?$"))),
+        ("secret_word_near", yes(before.rlike(_SECRET_WORDS + "[A-Za-z0-9_-]*[\"']?( is)?[ :=>]*[\"']?$"))),
+        ("plain_word", yes(before.rlike(_PLAIN_WORDS + "[A-Za-z0-9_]*[\"']?[ :=>/]*[\"']?$"))),
+        ("assigned", yes(before.rlike("[=:]>?[ ]?[\"']?$"))),
         ("quoted", yes(before.rlike("[\"']$") & after.rlike("^[\"']"))),
     ]
 
@@ -156,11 +176,20 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     none = F.array().cast("array<string>")
     cut = held.withColumns({k: F.when(some, F.regexp_extract_all("text", F.lit(_CUT), F.lit(i))).otherwise(none) for k, i in (("gaps", 1), ("matches", 2))})
 
+    def piece(name: str, i: Column) -> Column:
+        return F.coalesce(F.get(F.col(name), i), F.lit(""))
+
+    # what stands around a candidate, its neighbours included: three pieces hold that many characters wherever candidates have 16 signs
+    tails = F.zip_with("gaps", "matches", lambda g, m: F.right(F.concat(F.right(g, F.lit(BEFORE)), F.right(m, F.lit(BEFORE))), F.lit(BEFORE)))
+    cut = cut.withColumn("tails", tails)
+    befores = F.transform("gaps", lambda g, i: F.right(F.concat(piece("tails", i - 3), piece("tails", i - 2), piece("tails", i - 1), F.right(g, F.lit(BEFORE))), F.lit(BEFORE)))
+    afters = F.transform("gaps", lambda g, i: F.left(F.concat(F.left(piece("gaps", i + 1), F.lit(AFTER)), F.left(piece("matches", i + 1), F.lit(AFTER)), F.left(piece("gaps", i + 2), F.lit(AFTER))), F.lit(AFTER)))
+    around = cut.withColumns({"befores": befores, "afters": afters}).drop("tails")
+
     def described(match: Column, i: Column) -> Column:
-        gap, rest = F.get(F.col("gaps"), i), F.coalesce(F.get(F.col("gaps"), i + 1), F.lit(""))
-        return F.struct(*[c.alias(k) for k, c in features(match, F.right(gap, F.lit(BEFORE)), F.left(rest, F.lit(AFTER)))])
+        return F.struct(*[c.alias(k) for k, c in features(match, F.get("befores", i), F.get("afters", i))])
 
-    found = cut.withColumn("features", F.transform("matches", lambda m, i: F.when(m != "", described(m, i))))
+    found = around.withColumn("features", F.transform("matches", lambda m, i: F.when(m != "", described(m, i))))
     scored = found.withColumn("scores", F.expr(f"transform(features, x -> CASE WHEN x IS NULL THEN NULL ELSE {forest(docs.sparkSession).sql('x')} END)"))
     sizes = F.zip_with("gaps", "matches", lambda g, m: F.length(g) + F.length(m))
     scored = scored.withColumn("ends", _running(sizes))
@@ -210,8 +239,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     `secrets` lists the spans in characters; the strings themselves are not in the
     result. Null text counts as empty. Ids are only carried: null and repeated
-    ones are kept as they are. An empty table gives an empty result. Other
-    columns are not read.
+    ones are kept as they are. Very long texts are cut whole, in the memory of their row. An empty table gives an empty result. Other
+    columns are not read, whatever their names.
+
+    A filter on the result is best set on a stored table: pushed below, it would work the cuts out twice.
     """
     rows = judged(docs.select(id_col, text_col), text_col, threshold)
     secret = F.filter("cuts", lambda c: c["secret"])
@@ -227,7 +258,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """All rows of docs with secrets replaced in the text, and `size_col`, where there is one, set to the new length.
 
-    A row without secrets stays as it is, a null text stays null.
+    A row without secrets stays as it is, a null or empty text stays so. Every row is judged alone: ids, null and repeated ones, make no difference.
+    Very long texts are cut whole, in the memory of their row. The columns come back in their order, whatever their names. An empty table
+    stays empty.
     """
     rows = judged(docs, text_col)
     hit = F.exists("cuts", lambda c: c["secret"])
