@@ -34,6 +34,22 @@ SPACE = b" \t\n\v\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
+def fit_bands(sizes: np.ndarray, ratios: np.ndarray, below: float = 0.06, above: float = 0.12) -> tuple[tuple[float, float, float], ...]:
+    """Bands for the classes of `BANDS` from the sizes and ratios of good documents: their smallest and largest ratio, and room on either side.
+
+    A class without documents takes the limits before it. `BANDS` are rounded by hand from such a fit.
+    """
+    out, at = [], (0.0, float("inf"))
+    least = 0.0
+    for size, _, _ in BANDS:
+        own = ratios[(sizes >= least) & (sizes < size)]
+        if len(own):
+            at = (float(own.min()) - below, float(own.max()) + above)
+        out.append((size, *at))
+        least = size
+    return tuple(out)
+
+
 def repeated_words(words: list[bytes], window: int = 3) -> int:
     """Words in windows that occur twice or more, the first one included."""
     n = len(words)
@@ -68,12 +84,12 @@ def duplicate_lines(data: bytes) -> int:
     return n
 
 
-def bands_hold(data: bytes, compress) -> tuple[float, float, bool]:
+def bands_hold(data: bytes, compress, bands: tuple[tuple[float, float, float], ...] = BANDS) -> tuple[float, float, bool]:
     """The whole text's ratio, the share of bytes in chunks outside the chunk band, and the verdict."""
     if not data:
         return 0.0, 0.0, False
     ratio = len(data) / len(compress(data))
-    low, high = next((lo, hi) for size, lo, hi in BANDS if len(data) < size)
+    low, high = next((lo, hi) for size, lo, hi in bands if len(data) < size)
     outside = 0
     if len(data) >= CHUNK:
         for end in range(CHUNK, len(data) + CHUNK, CHUNK):
@@ -89,8 +105,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """Counts and verdict of every row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio, outside_share.
 
     Null and empty texts have no words and fail. Ids are only carried: null and
-    repeated ones are kept as they are. An empty table gives an empty
-    result. Other columns are not read.
+    repeated ones are kept as they are. Very long texts are read and compressed whole, one at a time. An empty table gives an empty
+    result. Other columns are not read, whatever their names.
     """
 
     def make():
@@ -124,7 +140,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is kept, with their columns: a filter without a shuffle.
 
     Rows with a null, empty or short text go; a null id, repeated rows and further
-    columns make no difference. An empty table stays empty.
+    columns make no difference. Very long texts are judged whole. An empty table stays empty.
     """
 
     @F.pandas_udf("boolean")
