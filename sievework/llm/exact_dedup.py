@@ -32,7 +32,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     `text_sha256` (of the normalised text). Texts are equal when identical after
     lower-casing A-Z; null counts as the empty text. `keep` is "max" or "min":
     which id of a class stays. A null id stays only where a class has no other;
-    of rows that repeat with the same id exactly one stays. An empty table gives
+    of rows that repeat with the same id exactly one stays; rows equal in id and text
+    have the same salt. Very long texts are compared whole. An empty table gives
     an empty result. Other columns travel in `row`, so their names cannot clash.
     """
     if keep not in ("max", "min"):

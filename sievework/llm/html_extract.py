@@ -152,7 +152,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null html counts as empty. Ids and urls are only carried: null and repeated
     ones are kept as they are. An empty table gives an empty result. Other columns are not
-    read. A page is read whole; nothing is capped.
+    read, whatever their names. A page, however long, is read whole; nothing is capped.
     """
     model = model or field()
     weights, first, step = model.weights, model.first, model.step

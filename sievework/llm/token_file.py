@@ -135,7 +135,8 @@ def write_token_file(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Columns: part (range partition, in order), base (tokens before the segment in its part), n_docs, n_tokens,
     image. Null text counts as empty; a null id comes first; rows that repeat an
-    id stand next to each other, ordered by a hash of their text.
+    id stand next to each other, ordered by a hash of their text. A very long text lies in one segment, which is closed behind it. An empty table
+    gives no segments. Other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
