@@ -30,6 +30,15 @@ Analyzer = Callable[[bytes], str]
 EMBED_FAILED = "Failed to embed"
 
 
+def device() -> str:
+    """Where a task's model should run: the accelerator that Spark gave the task (resource `gpu`), else the processor."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    found = task.resources().get("gpu") if task else None
+    return f"cuda:{found.addresses[0]}" if found else "cpu"
+
+
 def in_batches(model: Embedder, images: Sequence[bytes], size: int) -> list[Sequence[float] | None]:
     """Embeds in slices of `size`; None for an image that the model refuses.
 

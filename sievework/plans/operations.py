@@ -6,11 +6,12 @@ run uses. `documents` stands for files, `embeddings` for embedded images.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import infer
@@ -26,6 +27,7 @@ from ..sources.shared import shared_dir, stored
 from ..sources.state import read_state, state_tables, write_state
 from . import catalogue as Q
 from . import cull as K
+from .run import BatchRun, CullRun, Models
 
 SHORT = 200
 NESTED = replace(Q.FOLDERS, scope="recursive")
@@ -217,11 +219,77 @@ def q56(spark, d):
     return before.unionByName(phases.summary(("discovered", "scored")).select("phase", "complete", "n", F.lit(1).alias("moment")))
 
 
+def q57(spark, d):
+    """The dimensions of the vectors, and where a model of the tasks that read them would run."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(device=infer.device())
+
+    seen = Q._emb(spark, d).select(F.size("embedding").alias("dim")).mapInPandas(run, "dim int, device string")
+    return seen.groupBy("dim", "device").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _folder(spark, files: DataFrame) -> str:
+    """A folder with a small file for each `name` (a path in it), written by the executors."""
+    folder = I.local_path(_own(spark, "files"))
+    if folder is None:
+        raise ValueError("these files need a shared folder in a file system that all see")
+
+    def write(frames):
+        for pdf in frames:
+            for name in pdf["name"]:
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(name.encode())
+            yield pdf[["name"]]
+
+    stored(files.select("name").mapInPandas(write, "name string"), "written")
+    return folder
+
+
+def q58(spark, d):
+    """Supported files of a folder in path order, those in hidden folders included."""
+    kind = F.element_at(F.array(*map(F.lit, ("jpg", "PNG", "txt", "Heic", "jpeg"))), (F.col("page_id") % 5 + 1).cast("int"))
+    place = F.when(F.col("page_id") % 7 == 0, F.lit(".hidden/")).otherwise(F.lit(""))
+    folder = _folder(spark, Q._pages(spark, d).select(F.concat("host", F.lit("/"), place, F.col("page_id").cast("string"), F.lit("."), kind).alias("name")))
+    return I.discover(spark, folder).select(P.relative(F.col("path"), F.lit(folder)).alias("path"), "ord")
+
+
+def _photos(spark, d, folder: Column) -> tuple[str, str]:
+    """A folder of image files for the embeddings, and the table of their vectors."""
+    rows = Q._emb(spark, d).select(F.concat(folder, F.format_string("img_%06d.jpg", "vec_id")).alias("name"), "embedding")
+    root, table = _folder(spark, rows), _own(spark, "vectors")
+    rows.select(F.concat(F.lit(f"{root}/"), "name").alias("path"), "embedding").write.parquet(table)
+    return root, table
+
+
+def q59(spark, d):
+    """A run from files to copies and a report: the report as it was written, and whether the copies are there."""
+    root, table = _photos(spark, d, F.lit(""))
+    out = I.local_path(_own(spark, "best"))
+    config = replace(Q.CONFIG, representative="first")
+    CullRun(spark, root, out, config, Models(weights=(tuple(Q.WEIGHTS), Q.BIAS)), embeddings=table).run()
+    rows = spark.read.option("header", True).option("escape", '"').csv(f"file://{out}/report.csv")
+    copies = I.list_files(spark, out).select(F.regexp_replace("path", "^.*/[0-9]+_", "").alias("filename"), F.lit(True).alias("there"))
+    kept = rows.join(copies, "filename", "left")
+    return kept.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("rank", "filename", "aesthetic_score", "composition_score", "final_score", "cluster_id", "selected")], F.coalesce("there", F.lit(False)).alias("copied"))
+
+
+def q60(spark, d):
+    """A batch from files: what each folder's run came to."""
+    root, table = _photos(spark, d, F.format_string("l%d/", "label"))
+    run = BatchRun(spark, root, I.local_path(_own(spark, "best")), replace(Q.FOLDERS, scope="direct"), Models(weights=(tuple(Q.WEIGHTS), Q.BIAS)), embeddings=table)
+    return run.run().select(F.col("rel_path").alias("folder"), "chosen", "failed", "success")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "q38_cluster_of_image": q38, "q39_outcomes": q39, "q40_at_most": q40, "q41_readable_extensions": q41, "q42_extension_union": q42, "q43_shrunk_size": q43, "q44_iso_times": q44,
         "q45_string_helpers": q45, "q46_model_there": q46, "q47_cache_write": q47, "q48_phases_resume": q48, "q49_state_json": q49, "q50_decode_errors": q50, "q51_embed_batches": q51,
         "q52_embed_with_cache": q52, "q53_analyze": q53, "q54_batch_recursive": q54, "q55_batch_composition": q55, "q56_phase_delete": q56,
+        "q57_dimension_and_device": q57, "q58_discover_files": q58, "q59_run_from_files": q59, "q60_batch_from_files": q60,
     }
 
 
@@ -264,5 +332,13 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT label, id, CASE WHEN place <= 5 THEN 0.6::DOUBLE * score + 0.4::DOUBLE * CASE WHEN id % 10 > 0 THEN (id % 10)::DOUBLE ELSE 5.0::DOUBLE END ELSE score END AS final FROM r),
             o AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY final DESC, id) AS rank, id, final FROM f)
             SELECT label, rank, id AS vec_id, round(final, 6) AS final FROM o JOIN q USING (label) WHERE rank <= target""",
+        "q57_dimension_and_device": "SELECT len(embedding)::INT AS dim, 'cpu' AS device, count(*) AS n FROM embeddings GROUP BY 1",
+        "q58_discover_files": f"WITH {Q._PATHS}, f AS (SELECT host || '/' || CASE WHEN page_id % 7 = 0 THEN '.hidden/' ELSE '' END || page_id || '.' || ['jpg', 'PNG', 'txt', 'Heic', 'jpeg'][page_id % 5 + 1] AS path FROM u WHERE page_id % 5 <> 2) SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS ord FROM f",
+        "q59_run_from_files": f"""WITH RECURSIVE {Q._PAIRS}{Q._ROOTS}{Q._NUMBERED}{Q._SCORE},
+            o AS (SELECT s.id, s.score, k.cluster_id, row_number() OVER (ORDER BY s.score DESC, s.id) AS pos FROM s JOIN c ON c.id = s.id LEFT JOIN k ON k.root = s.id WHERE c.root = c.id)
+            SELECT CASE WHEN pos <= {Q.TOP} THEN pos::VARCHAR ELSE '' END AS rank, 'img_' || lpad(id::VARCHAR, 6, '0') || '.jpg' AS filename, printf('%.2f', score) AS aesthetic_score, '' AS composition_score,
+                   printf('%.2f', score) AS final_score, coalesce(cluster_id::VARCHAR, '') AS cluster_id, CASE WHEN pos <= {Q.TOP} THEN 'yes' ELSE 'no' END AS selected, pos <= {Q.TOP} AS copied FROM o""",
+        "q60_batch_from_files": f"""WITH RECURSIVE {Q._FOLDER_PAIRS}{Q._ROOTS}, n AS (SELECT e.label, count(*) AS n, count(*) FILTER (c.root = c.id) AS kept FROM e JOIN c USING (id) GROUP BY e.label)
+            SELECT 'l' || label AS folder, least(kept, {Q._quota('n', '0.1', 3, 7)})::BIGINT AS chosen, 0::BIGINT AS failed, true AS success FROM n""",
         "q56_phase_delete": "SELECT phase, complete, n, moment::INT AS moment FROM (SELECT 'discovered' AS phase, true AS complete, count(*) AS n, 0 AS moment FROM pages UNION ALL SELECT 'scored', false, 0, 0 UNION ALL SELECT 'discovered', false, 0, 1 UNION ALL SELECT 'scored', false, 0, 1)",
     }
