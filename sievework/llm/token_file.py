@@ -14,18 +14,21 @@ keeps its low bits in place and is patched from the exception list. Any block
 can be read alone through its start.
 
 Spark writes the images (committed atomically, in the shared folder), ordered
-by document id over range partitions, so no task needs another's data.
+by document id over range partitions, so no task needs another's data. The images travel in
+a Parquet column, which every store takes; `write_files` and `read_files` have them as files of their own.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
@@ -204,6 +207,45 @@ def read_token_file(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.withColumnRenamed("id", id_col)
 
 
+_NAME = re.compile(r"(\d+)-(\d+)\.pfor$")
+
+
+def write_files(segments: DataFrame, folder: str) -> DataFrame:
+    """Writes every image as a file of its own, part-base.pfor, in a folder of a file system that all executors share; returns the paths.
+
+    A file is renamed when it is whole, so a task that runs twice does no harm. The names sort in the order of the ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            paths = []
+            for part, base, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                path = os.path.join(folder, f"{part:06d}-{base:015d}.pfor")
+                with open(f"{path}.{os.getpid()}.tmp", "wb") as f:
+                    f.write(image.as_py())
+                os.replace(f"{path}.{os.getpid()}.tmp", path)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return segments.select("part", "base", "image").mapInArrow(run, "path string")
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of such files, from any store that Spark reads: part, base, n_docs, n_tokens, image."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
+
+    def make():
+        def each(batch):
+            names = [_NAME.search(x) for x in batch.column(0).to_pylist()]
+            heads = [struct.unpack_from("<2q", x.as_py(), len(MAGIC)) for x in batch.column(1)]
+            return {"part": [int(m[1]) for m in names], "base": [int(m[2]) for m in names], "n_docs": [d for d, _ in heads], "n_tokens": [n for _, n in heads], "image": batch.column(1)}
+
+        return each
+
+    return map_arrow(files.select("path", "content"), make, "part int, base long, n_docs long, n_tokens long, image binary")
+
+
 def token_file_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "byte_bpe_50k.json", end_id: int = END_ID) -> DataFrame:
     """Writes the token file and reads it back (see the two functions); an empty table gives an empty result."""
     return read_token_file(write_token_file(docs, id_col, text_col, model, end_id), id_col)

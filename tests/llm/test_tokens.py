@@ -206,6 +206,19 @@ def test_token_file(docs, byte_ids):
         at += len(ids)
 
 
+def test_segments_as_files(spark, docs, byte_ids, tmp_path, monkeypatch):
+    segments = token_file.write_token_file(docs)
+    paths = [r.path for r in token_file.write_files(segments, str(tmp_path / "ids")).collect()]
+    assert sorted(paths) == sorted(str(p) for p in (tmp_path / "ids").iterdir()) and len(paths) == segments.count()
+    back = token_file.read_files(spark, f"file://{tmp_path}/ids")
+    columns = ["part", "base", "n_docs", "n_tokens", "image"]
+    assert sorted(back.select(columns).collect()) == sorted(segments.select(columns).collect())
+    joined = np.concatenate([Segment(open(p, "rb").read()).read() for p in sorted(paths)])
+    assert joined.tolist() == [i for ids in byte_ids for i in [*ids, 0]]
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in token_file.read_token_file(back).collect())
+    assert [x[2] for x in got] == [len(ids) + 1 for ids in byte_ids]
+
+
 @pytest.mark.parametrize("n", [1, 127, 128, 129, 5000, 70_000])
 def test_segment_round_trip(n):
     rng = np.random.default_rng(n)
