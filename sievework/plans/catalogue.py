@@ -186,7 +186,10 @@ HIDDEN_PATHS = ("/photos/a", "/photos/.cache/a", "/.photos", "photos/b.c", "/pho
 
 
 def q36(spark, d):
-    return spark.createDataFrame([(p,) for p in HIDDEN_PATHS], "path string").select("path", P.hidden(F.col("path")).alias("hidden"))
+    """Paths below hidden folders, over the pages' folders and some special forms."""
+    special = spark.createDataFrame([(p,) for p in HIDDEN_PATHS], "path string")
+    folder = F.when(F.col("page_id") % 3 == 0, F.lit("/.cache/")).otherwise(F.lit("/"))
+    return special.unionByName(_pages(spark, d).select(F.concat(F.lit("/photos/"), "host", folder, "page_id").alias("path"))).select("path", P.hidden(F.col("path")).alias("hidden"))
 
 
 def q37(spark, d):
@@ -303,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "q35_phase_summary": f"""WITH RECURSIVE {_PAIRS}{_ROOTS}{_NUMBERED}{_CULL}
             SELECT 'embedded' AS phase, count(*) AS n FROM e UNION ALL SELECT 'clusters', count(*) FROM k UNION ALL SELECT 'scored', count(*) FROM o
             UNION ALL SELECT 'composed', count(composition) FROM o UNION ALL SELECT 'selected', count(*) FROM o WHERE pos <= {TOP}""",
-        "q36_hidden_filter": "SELECT path, len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.'))) > 0 AS hidden FROM (VALUES " + ", ".join(f"('{p}')" for p in HIDDEN_PATHS) + ") t(path)",
+        "q36_hidden_filter": "SELECT path, len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.'))) > 0 AS hidden FROM (SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in HIDDEN_PATHS) + f") t(path) UNION ALL (WITH {_PATHS} SELECT '/photos/' || host || CASE WHEN page_id % 3 = 0 THEN '/.cache/' ELSE '/' END || page_id FROM u))",
         "q37_batch_cull": f"""WITH RECURSIVE {_FOLDER_PAIRS}{_ROOTS}{_SCORE},
             q AS (SELECT label, {_quota('count(*)', '0.1', 3, 7)} AS target FROM e GROUP BY label),
             r AS (SELECT s.label, row_number() OVER (PARTITION BY s.label ORDER BY score DESC, s.id) AS rank, s.id FROM s JOIN c ON c.id = s.id WHERE c.root = c.id)

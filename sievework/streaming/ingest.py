@@ -23,7 +23,7 @@ def watch_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
 
 
 def ingest(files: DataFrame, make: Callable[[], Embedder], cache: str, out: str, checkpoint: str, batch_size: int = 16, once: bool = True) -> StreamingQuery:
-    """Appends path and embedding to `out`.
+    """Appends path, embedding and error to `out`; an image that can't be embedded is a row with an error.
 
     A batch goes to a folder named by its number and replaces what an earlier
     attempt left there, so a batch that runs twice counts once.
@@ -37,8 +37,8 @@ def ingest(files: DataFrame, make: Callable[[], Embedder], cache: str, out: str,
 
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
-    """path and embedding of all batches so far; a path that came again has its latest embedding."""
+    """path and embedding of all batches so far; a path that came again has its latest embedding, failed ones have none and are left out."""
     if not exists(spark, out):
         return spark.createDataFrame([], "path string, embedding array<float>")
-    rows = spark.read.parquet(out)
+    rows = spark.read.parquet(out).where("embedding IS NOT NULL")
     return rows.groupBy("path").agg(F.max_by("embedding", "batch").alias("embedding"))
