@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--weights", help="JSON of the linear aesthetic score")
         q.add_argument("--threshold", type=float, default=CullConfig.similarity_threshold, help="cosine similarity of duplicates")
         q.add_argument("--batch-size", type=int, default=CullConfig.batch_size, help="images that the embedder gets at once")
-        q.add_argument("--cache-dir", help="folder of the embedding cache (default: IMAGES/.cache/embeddings)")
+        q.add_argument("--cache-dir", help="folder of the embedding cache and of unfinished phases (default: IMAGES/.cache)")
         q.add_argument("--representative", choices=("first", "best"), default=CullConfig.representative, help="which image stands for its duplicates")
         q.add_argument("--use-llm", action="store_true", help="ask a vision model about the best candidates")
         q.add_argument("--llm-candidates", type=int, default=CullConfig.llm_candidates)

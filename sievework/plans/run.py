@@ -27,7 +27,6 @@ from ..operators.report import copy_ranked, write_folder_reports, write_report_f
 from ..sources import images as I
 from ..sources.phases import Phases
 from ..sources.pixels import has_jpeg, readable
-from ..sources.shared import shared_dir
 from . import cull as K
 
 #: Candidates up to which their paths are handed to Spark's image source one by one; beyond, it reads the folder.
@@ -61,6 +60,8 @@ class NoImages(ValueError):
 
 
 class _Run:
+    """`cache` is the folder of the embedding cache and the phases, IMAGES/.cache if not told otherwise."""
+
     def __init__(self, spark: SparkSession, source: str, output: str, config: CullConfig, models: Models, cache: str | None = None, embeddings: str | None = None, resume: bool = False, tell: Callable[[str, int], None] | None = None):
         if models.embedder is None and embeddings is None:
             raise ValueError("a run needs an embedder or a table of embeddings")
@@ -68,8 +69,10 @@ class _Run:
             raise NotADirectoryError(source)
         self.spark, self.source, self.output = spark, os.path.abspath(source), os.path.abspath(output)
         self.config, self.models, self.embeddings = config, models, embeddings
-        self.cache = cache or f"file://{self.source}/.cache/embeddings"
-        self.phases = Phases(spark, shared_dir(spark), config.run_id(type(self).__name__, self.source, str(embeddings), models.key()), tell)
+        # kept between sessions, so that a run resumes in another process; all executors see it as they see the images
+        kept = (cache or f"file://{self.source}/.cache").rstrip("/")
+        self.cache = f"{kept}/embeddings"
+        self.phases = Phases(spark, f"{kept}/phases", config.run_id(type(self).__name__, self.source, str(embeddings), models.key()), tell)
         if not resume:
             self.phases.delete()
 

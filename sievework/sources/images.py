@@ -14,6 +14,8 @@ from ..operators.folders import folder_counts
 from ..operators.numbering import number_rows
 
 FAILED = "Failed to load"
+#: Tasks that list folders.
+MOST_TASKS = 1_000
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,14 +93,13 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for top in pdf["top"]:
-                rows = []
-                for d, dirs, files in os.walk(top):
+                for d, dirs, files in os.walk(top):  # a folder at a time
                     if top == folder:
                         dirs.clear()
-                    rows += [(os.path.join(d, f), os.path.getsize(os.path.join(d, f))) for f in files]
-                yield pd.DataFrame(rows, columns=["path", "size"])
+                    paths = [p for p in (os.path.join(d, f) for f in files) if os.path.isfile(p)]
+                    yield pd.DataFrame([(p, os.path.getsize(p)) for p in paths], columns=["path", "size"])
 
-    return spark.createDataFrame([(t,) for t in tops], "top string").repartition(len(tops)).mapInPandas(walk, schema)
+    return spark.createDataFrame([(t,) for t in tops], "top string").repartition(min(len(tops), MOST_TASKS)).mapInPandas(walk, schema)
 
 
 def image_folders(files: DataFrame, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
