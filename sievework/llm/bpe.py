@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -49,12 +48,8 @@ def byte_signs() -> list[str]:
     return out
 
 
-def newer_signs() -> re.Pattern:
-    """Code points that Python's Unicode tables don't know: what they are in lower case, or whether they are letters, depends on the library's version."""
-    unknown = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cn", "Cs")]
-    starts = [c for c, before in zip(unknown, [-2, *unknown]) if c != before + 1]
-    ends = [c for c, after in zip(unknown, [*unknown[1:], -2]) if c != after - 1]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
+#: Signs outside the Latin blocks and general punctuation, where every code point has long been assigned.
+UNUSUAL = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 
 
 class WordBPE:
@@ -74,7 +69,7 @@ class WordBPE:
         # \s is stated as a property, so that it means the same in any pattern library
         self.words = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         # a text with newer code points is lower-cased and cut by the library; the merges are the same
-        self.newer, self.normalizer = newer_signs(), Tokenizer.from_file(path).normalizer
+        self.normalizer, self.older = Tokenizer.from_file(path).normalizer, set(map(chr, range(0x250)))
         self.cutter = pre_tokenizers.Split(Regex(pre[0]["pattern"]["Regex"]), pre[0]["behavior"].lower(), pre[0]["invert"])
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -178,6 +173,14 @@ class WordBPE:
             symbols = symbols[gone]
         return out
 
+    def has_newer(self, text: str) -> bool:
+        """Whether there are code points that Python's Unicode tables don't know: their lower case, and whether they are letters, depend on the library's version."""
+        for c in set(text) - self.older:
+            if unicodedata.category(c) in ("Cn", "Cs"):
+                return True
+            self.older.add(c)
+        return False
+
     def parts(self, text: str) -> list[str]:
         """The words of a text, with the strings of added tokens as they are."""
         if self.specials is not None and any(s in text for s in self.added):
@@ -185,7 +188,7 @@ class WordBPE:
             for piece in self.specials.split(text):
                 out += [piece] if piece in self.added else self.parts(piece)
             return out
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and UNUSUAL.search(text) and self.has_newer(text):
             text = self.normalizer.normalize_str(text.encode("utf-8", "replace").decode("utf-8"))
             return [w for w, _ in self.cutter.pre_tokenize_str(text)]
         # one sign at a time, so that the final sigma stays an ordinary one
