@@ -39,8 +39,10 @@ class ByteBPE:
         self.added = {x["content"]: np.array([x["id"]], "<u2").tobytes() for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.signs = dict(enumerate(byte_signs()))
-        self.quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\w\s])+|\s+(?!\S)|\s+")
-        self.unlike = _unlike()
+        usual = _usual()
+        self.unlike = re.compile(f"[^{_listed(usual)}]")
+        self.quick, self.ascii = _quick(usual), _quick([c for c in usual if c.isascii()])
+        self.plain = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
         self.known = _Known(self)
 
     def parts(self, text: str) -> list[str]:
@@ -49,7 +51,9 @@ class ByteBPE:
             for piece in self.specials.split(text):
                 out += [piece] if piece in self.added else self.words.findall(piece)
             return out
-        # the standard library's pattern is faster, and means the same where its classes do
+        # the standard library is faster, with its signs listed by class
+        if text.isascii() and not self.plain.search(text):
+            return self.ascii.findall(text)
         return (self.words if self.unlike.search(text) else self.quick).findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -65,24 +69,36 @@ class _Known(dict):
 
     def __init__(self, owner: ByteBPE):
         super().__init__(owner.added)
-        self.merge, self.signs, self.letters = owner.library.model.tokenize, owner.signs, 0
+        self.merge, self.signs, self.space, self.letters = owner.library.model.tokenize, owner.signs, owner.signs[32], 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))]
+        if word.isascii() and word.isprintable():
+            signs = word.replace(" ", self.space)  # the others stand for themselves
+        else:
+            signs = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
+        ids = [t.id for t in self.merge(signs)]
         found = self[word] = array("H", ids).tobytes()
         self.letters += len(word)
         return found
 
 
-def _unlike() -> re.Pattern:
-    """The signs, up to the end of the Latin blocks and in punctuation, where Python's classes equal the properties, negated."""
-    like = []
-    for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]:
-        kind, s = unicodedata.category(chr(c))[0], chr(c)
-        same = bool(re.match(r"[^\W\d_]", s)) == (kind == "L") and bool(re.match(r"\d", s)) == (kind == "N") and bool(re.match(r"[^\w\s]|_", s)) == (kind not in "LN" and not s.isspace())
-        if same and c not in (0x1C, 0x1D, 0x1E, 0x1F):
-            like.append(re.escape(s))
-    return re.compile(f"[^{''.join(like)}]")
+def _usual() -> list[str]:
+    """The signs, up to the end of the Latin blocks and in punctuation, that are listed by class; not the separators U+001C to U+001F, which Python takes for spaces."""
+    return [chr(c) for c in [*range(0x1C), *range(0x20, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)] if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+
+
+def _listed(signs: list[str]) -> str:
+    return "".join(map(re.escape, signs))
+
+
+def _quick(signs: list[str]) -> re.Pattern:
+    """The library's pattern for texts of these signs alone: letters, numbers, white space, and the rest."""
+    kinds: dict[str, list[str]] = {"L": [], "N": [], " ": [], "other": []}
+    for c in signs:
+        kind = " " if c.isspace() else unicodedata.category(c)[0]
+        kinds[kind if kind in kinds else "other"].append(c)
+    letter, number, space, other = (f"[{_listed(x)}]" for x in kinds.values())
+    return re.compile(f" ?{letter}+| ?{number}+|'(?:s|t|re|ve|m|ll|d)| ?{other}+|{space}+(?!\\S)|{space}+")
 
 
 _loaded: dict[str, ByteBPE] = {}
