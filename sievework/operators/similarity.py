@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles
-from ..sources.shared import stored
 
 #: Rows of a block; a tile holds two blocks and their product.
 BLOCK = 2_048
@@ -40,9 +39,13 @@ def _tiles(df: DataFrame, id_col: str, vec_col: str, within: str | None, block:
         own = own.withColumn("n", F.lit(max(1, math.ceil(rows.count() / block))))
     else:
         # only folders of more than a block take part: there are at most rows / block of them
-        large = stored(own.groupBy("folder").count().where(F.col("count") > block).select("folder", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("n")), "large-folders")
-        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-        own = own.where("folder IS NOT NULL").join(large, "folder", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        own = own.where("folder IS NOT NULL")
+        large = own.groupBy("folder").count().where(F.col("count") > block).select("folder", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("n"))
+        many = large.count()
+        if many:
+            own = own.join(F.broadcast(large) if many <= BROADCAST_ROWS else large, "folder", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        else:
+            own = own.withColumn("n", F.lit(1))
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("r"), F.greatest(k, F.col("block")).alias("c")))
     return own.select("folder", "id", "v", "block", F.explode(pairs).alias("t")).select("folder", "id", "v", "block", "t.r", "t.c"), ["folder", "r", "c"]
