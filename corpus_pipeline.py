@@ -35,7 +35,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose 5-word shingles have Jaccard similarity 0.8 or more, the document with the smallest id.
 
-    Texts without words, null ones too, are one component; a null id stays only where its component has no other.
+    Candidates are the SimHash components of these shingles, and texts with a common MinHash key, as most such texts differ in more bits than
+    fingerprints are linked at; each link is checked exactly. Texts without words, null ones too, are one component; a null id stays only where its component has no other.
     """
     return drop_near_copies(docs, groups=similar_groups)
 

@@ -1,6 +1,8 @@
 """Near-duplicate texts by their shingles: Jaccard similarity at or over a limit, checked exactly.
 
-Candidates come from MinHash bands: 32 keys of four minima each, so two texts
+Candidates share a key. One key of a text is its SimHash component (`simhash.near_groups` over the same shingles), so
+all texts whose fingerprints are linked share it. Texts at similarity 0.8 mostly differ in more bits than any
+ball of variants reaches; for these there are MinHash bands as well: 32 keys of four minima each, so two texts
 at similarity 0.8 share a key with probability 1 - 5e-8, and more similar ones
 with a higher one. All that follows is exact: of two similar texts that share a key, either
 a chain of checked links joins them already, or their shingle sets are compared.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components, local_roots
 from ..sources.shared import release
 from .common import map_arrow, written
+from .simhash import near_groups
 
 SEED = 42
 WORDS, LEAST = 5, 0.8
@@ -75,6 +78,8 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
 
 
 def _keys(docs: DataFrame, words: int) -> DataFrame:
+    """doc, n (its shingles) and each of its keys: the bands of minima, and the component of its fingerprint."""
+
     def make():
         factors = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -84,7 +89,11 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
 
         return each
 
-    return map_arrow(docs, make, "doc long, n long, keys array<long>").select("doc", "n", F.explode("keys").alias("key"))
+    bands = written(map_arrow(docs, make, "doc long, n long, keys array<long>"), "band-keys")
+    groups = near_groups(docs, "doc", "text", words).select("doc", F.xxhash64("component_id").alias("key"))
+    keys = written(bands.select("doc", "n", F.explode("keys").alias("key")).unionByName(bands.select("doc", "n").join(groups, "doc")), "shingle-keys")
+    release(bands)
+    return keys
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -182,7 +191,7 @@ def _tiles(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def similar_links(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """Links (a, b) that join the rows of docs (`doc`, distinct, and `text`) as all pairs of similar shingles do."""
-    keys = written(_keys(docs, words), "shingle-keys")
+    keys = _keys(docs, words)
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(keys.join(many, "key"), "shared-keys")
     release(keys)

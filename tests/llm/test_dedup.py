@@ -282,6 +282,23 @@ def test_pipeline_drops_near_copies_by_shingles(spark, monkeypatch, all_pairs):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want)) and got.columns == rows.columns
 
 
+def test_pipeline_takes_fingerprint_components_as_candidates(spark, monkeypatch):
+    """Without a common MinHash key: what fingerprints link is found, also beside a hub that is like neither, and only what is similar stays linked."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near_dedup, "band_keys", lambda hashes, factors: [int(hashes.view(np.int64).sum()) + k for k in range(near_dedup.BANDS)])
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(10**6)}"
+    often = " ".join(word() for _ in range(12))
+    first, second, base = ([word() for _ in range(n)] for n in (60, 60, 900))
+    texts = [" ".join([often] * 400 + x) for x in (first, second, [*second[:-1], word()])]
+    texts += [" ".join(base), " ".join([*base[:-1], word()]), " ".join(word() for _ in range(900))]
+    bits = lambda a, b: (int.from_bytes(simhash.fingerprint(texts[a].encode(), 5)) ^ int.from_bytes(simhash.fingerprint(texts[b].encode(), 5))).bit_count()
+    assert max(bits(0, 1), bits(0, 2), bits(1, 2), bits(3, 4)) <= simhash.RADIUS < bits(3, 5)
+    assert plain_similar_components(texts) == [0, 1, 1, 3, 3, 5]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.near_copies(spark, rows.repartition(3), SF).collect()) == [0, 1, 3, 5]
+
+
 def test_sharding(docs, texts):
     rows = sharding.shard(docs).collect()
     assert len(rows) == len(texts)
