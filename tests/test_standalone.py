@@ -20,6 +20,7 @@ HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 QUERIES = [
     "q02_path_order",
     "q03_content_hash",
+    "q04_exact_dup_groups",
 ]
 RUN = """
 import importlib.util, json, os, sys
