@@ -21,6 +21,7 @@ QUERIES = [
     "q02_path_order",
     "q03_content_hash",
     "q04_exact_dup_groups",
+    "q06_cache_misses",
 ]
 RUN = """
 import importlib.util, json, os, sys
