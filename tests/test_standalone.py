@@ -22,6 +22,7 @@ QUERIES = [
     "q03_content_hash",
     "q04_exact_dup_groups",
     "q06_cache_misses",
+    "q05_cache_hits",
 ]
 RUN = """
 import importlib.util, json, os, sys
