@@ -23,6 +23,7 @@ QUERIES = [
     "q04_exact_dup_groups",
     "q06_cache_misses",
     "q05_cache_hits",
+    "q08_norms",
 ]
 RUN = """
 import importlib.util, json, os, sys
