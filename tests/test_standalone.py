@@ -24,6 +24,7 @@ QUERIES = [
     "q06_cache_misses",
     "q05_cache_hits",
     "q08_norms",
+    "q07_cache_merge",
 ]
 RUN = """
 import importlib.util, json, os, sys
