@@ -25,6 +25,7 @@ QUERIES = [
     "q05_cache_hits",
     "q08_norms",
     "q07_cache_merge",
+    "q09_similar_pairs",
 ]
 RUN = """
 import importlib.util, json, os, sys
