@@ -26,6 +26,7 @@ QUERIES = [
     "q08_norms",
     "q07_cache_merge",
     "q09_similar_pairs",
+    "q11_components",
 ]
 RUN = """
 import importlib.util, json, os, sys
