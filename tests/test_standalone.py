@@ -27,6 +27,7 @@ QUERIES = [
     "q07_cache_merge",
     "q09_similar_pairs",
     "q11_components",
+    "q12_cluster_ids",
 ]
 RUN = """
 import importlib.util, json, os, sys
