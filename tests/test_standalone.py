@@ -28,6 +28,7 @@ QUERIES = [
     "q09_similar_pairs",
     "q11_components",
     "q12_cluster_ids",
+    "q10_pair_count_by_label",
 ]
 RUN = """
 import importlib.util, json, os, sys
