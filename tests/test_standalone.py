@@ -29,6 +29,7 @@ QUERIES = [
     "q11_components",
     "q12_cluster_ids",
     "q10_pair_count_by_label",
+    "q13_cluster_members",
 ]
 RUN = """
 import importlib.util, json, os, sys
