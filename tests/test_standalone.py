@@ -30,6 +30,7 @@ QUERIES = [
     "q12_cluster_ids",
     "q10_pair_count_by_label",
     "q13_cluster_members",
+    "q14_rep_first",
 ]
 RUN = """
 import importlib.util, json, os, sys
