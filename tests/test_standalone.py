@@ -31,6 +31,7 @@ QUERIES = [
     "q10_pair_count_by_label",
     "q13_cluster_members",
     "q14_rep_first",
+    "q17_unique_images",
 ]
 RUN = """
 import importlib.util, json, os, sys
