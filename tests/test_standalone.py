@@ -32,6 +32,7 @@ QUERIES = [
     "q13_cluster_members",
     "q14_rep_first",
     "q17_unique_images",
+    "q16_duplicates",
 ]
 RUN = """
 import importlib.util, json, os, sys
