@@ -33,6 +33,7 @@ QUERIES = [
     "q14_rep_first",
     "q17_unique_images",
     "q16_duplicates",
+    "q15_rep_best",
 ]
 RUN = """
 import importlib.util, json, os, sys
