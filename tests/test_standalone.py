@@ -34,6 +34,7 @@ QUERIES = [
     "q17_unique_images",
     "q16_duplicates",
     "q15_rep_best",
+    "q18_aesthetic",
 ]
 RUN = """
 import importlib.util, json, os, sys
