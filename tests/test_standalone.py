@@ -35,6 +35,7 @@ QUERIES = [
     "q16_duplicates",
     "q15_rep_best",
     "q18_aesthetic",
+    "q22_final_score",
 ]
 RUN = """
 import importlib.util, json, os, sys
