@@ -36,6 +36,7 @@ QUERIES = [
     "q15_rep_best",
     "q18_aesthetic",
     "q22_final_score",
+    "q21_parse_score",
 ]
 RUN = """
 import importlib.util, json, os, sys
