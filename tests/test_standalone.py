@@ -37,6 +37,7 @@ QUERIES = [
     "q18_aesthetic",
     "q22_final_score",
     "q21_parse_score",
+    "q19_score_stats",
 ]
 RUN = """
 import importlib.util, json, os, sys
