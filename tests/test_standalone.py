@@ -38,6 +38,7 @@ QUERIES = [
     "q22_final_score",
     "q21_parse_score",
     "q19_score_stats",
+    "q20_llm_candidates",
 ]
 RUN = """
 import importlib.util, json, os, sys
