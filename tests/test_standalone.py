@@ -39,6 +39,7 @@ QUERIES = [
     "q21_parse_score",
     "q19_score_stats",
     "q20_llm_candidates",
+    "q23_top_n",
 ]
 RUN = """
 import importlib.util, json, os, sys
