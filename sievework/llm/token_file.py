@@ -40,6 +40,8 @@ PERCENTILE = 90
 END_ID = 0
 #: A segment is closed at so many tokens.
 SEGMENT_TOKENS = 1 << 18
+#: Images of a row group of the stored table at most: each has about half a megabyte, and a reader holds a group's rows at once.
+GROUP_IMAGES = 16
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -173,7 +175,7 @@ def write_token_file(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(run, "part int, base long, n_docs long, n_tokens long, image binary"), "token-file")
+    return written(ordered.mapInArrow(run, "part int, base long, n_docs long, n_tokens long, image binary"), "token-file", GROUP_IMAGES)
 
 
 def read_token_file(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:

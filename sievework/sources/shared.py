@@ -36,10 +36,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: Parquet in the shared folder, read back; it outlives lost executors."""
+def stored(df: DataFrame, tag: str, group_rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: Parquet in the shared folder, read back; it outlives lost executors.
+
+    group_rows: rows of a row group at most, for rows so large that a reader can't hold as many as Parquet puts in a page and a group.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     atexit.register(forget, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored = path

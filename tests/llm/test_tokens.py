@@ -3,8 +3,10 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -219,6 +221,17 @@ def test_segments_as_files(spark, docs, byte_ids, tmp_path, monkeypatch):
     assert [x[2] for x in got] == [len(ids) + 1 for ids in byte_ids]
 
 
+def test_a_reader_of_the_stored_images_holds_few_at_once(docs, byte_ids, monkeypatch):
+    # without a limit a file of the whole job is one row group and a few large pages; a reader of it ran out of memory
+    monkeypatch.setattr(token_file, "SEGMENT_TOKENS", 100)
+    segments = token_file.write_token_file(docs.coalesce(1))
+    files = list(Path(segments._stored.removeprefix("file://")).glob("*.parquet"))
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) == segments.count() > token_file.GROUP_IMAGES * len(files) and max(groups) <= token_file.GROUP_IMAGES
+    got = sorted((r.doc_id, r.n_tokens) for r in token_file.read_token_file(segments).collect())
+    assert [n for _, n in got] == [len(ids) + 1 for ids in byte_ids]
+
+
 @pytest.mark.parametrize("n", [1, 127, 128, 129, 5000, 70_000])
 def test_segment_round_trip(n):
     rng = np.random.default_rng(n)
